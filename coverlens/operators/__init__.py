@@ -3,7 +3,14 @@
 from coverlens.operators.duplicates import DuplicateRule, flag_exact_duplicates
 from coverlens.operators.impute import fallback_medians, impute_from_medians
 from coverlens.operators.lookup import lookup_join, same_key
-from coverlens.operators.projects import ProjectRule, first_of_project, flag_projects, window_sensitivity
+from coverlens.operators.projects import (
+    ProjectRule,
+    first_of_project,
+    flag_linked,
+    flag_projects,
+    flag_unlinked,
+    window_sensitivity,
+)
 from coverlens.operators.selection import exact_median, ntile_expression, order_statistics
 from coverlens.operators.tables import (
     band_distribution,
@@ -26,7 +33,9 @@ __all__ = [
     "fallback_medians",
     "first_of_project",
     "flag_exact_duplicates",
+    "flag_linked",
     "flag_projects",
+    "flag_unlinked",
     "gap_report",
     "growth",
     "impute_from_medians",

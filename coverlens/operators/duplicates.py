@@ -52,6 +52,7 @@ def flag_exact_duplicates(
         weight="_rows",
         spread_by=[row_id],
         hit="_copied",
+        eligible=~rule.excluded(),
         broadcast_rows=broadcast_rows,
     )
     return marked.select(*df.columns, (F.col("_copied") & ~rule.excluded()).alias(flag))

@@ -28,6 +28,7 @@ def lookup_join(
     weight: str,
     spread_by: Sequence[str],
     hit: str | None = None,
+    eligible: Column | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Attach the columns of ``table`` (unique on ``keys``) to ``rows``, keeping every row.
@@ -37,7 +38,8 @@ def lookup_join(
     move. Beyond that only the ``broadcast_rows`` heaviest keys are broadcast; the rest goes
     through a shuffle in which rows of heavy keys, already answered, are spread by ``spread_by``.
     A key that stays in the shuffle holds at most ``len(rows) / broadcast_rows`` rows.
-    NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column.
+    NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column, and
+    ``eligible`` marks the rows that can match at all: the others are spread in the same way.
     """
     table = materialize(table)
     payload = [c for c in table.columns if c not in keys and c != weight]
@@ -50,8 +52,11 @@ def lookup_join(
     heavy = _renamed(heavy, keys, payload, "_h_")
     answered = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
     spread = F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))
+    settled = F.coalesce(F.col("_h_hit"), F.lit(False))
+    if eligible is not None:
+        settled = settled | ~F.coalesce(eligible, F.lit(False))
     answered = answered.withColumn(
-        "_salt", F.when(F.col("_h_hit"), spread).otherwise(F.lit(0)).cast("long")
+        "_salt", F.when(settled, spread).otherwise(F.lit(0)).cast("long")
     )
     light = _renamed(table, keys, payload, "_l_")
     # Always 0, but computed per row: a literal would let the optimizer turn the salt test into

@@ -81,28 +81,31 @@ def first_of_project(df: DataFrame, rule: ProjectRule, payload: Sequence[str]) -
     return _windows(months, rule).select(*[F.col(f"_head.{c}").alias(c) for c in payload])
 
 
-def flag_projects(
-    df: DataFrame,
-    rule: ProjectRule,
-    row_id: str,
-    *,
-    flag: str = "is_first_at_address",
-    first: str = "first_at_address",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Add ``first`` (earliest date at the link) and ``flag`` (this row stands for its project).
+def flag_unlinked(df: DataFrame, rule: ProjectRule, flag: str, first: str) -> DataFrame:
+    """The part of ``flag_projects`` for rows without a link; they never move.
 
-    ``row_id`` must be unique; it settles ties that the rule leaves open. Rows without a link
-    never move: their ``first`` is the earliest date of their missing code, as in SQL. Linked
-    rows meet one summary row per link, which lists the project heads of that link.
+    Each is a project of its own, and its ``first`` is the earliest date of its missing code.
     """
     loose = df.filter(~rule.linked())
     # One row per missing code (plus NULL when that counts as missing): a fixed handful.
     by_code = loose.groupBy(F.col(rule.link).alias("_code")).agg(F.min(rule.date).alias(first))
-    loose = loose.join(
+    return loose.join(
         F.broadcast(by_code), loose[rule.link].eqNullSafe(by_code["_code"]), "left"
     ).select(*[loose[c] for c in df.columns], first, F.lit(True).alias(flag))
 
+
+def flag_linked(
+    df: DataFrame,
+    rule: ProjectRule,
+    row_id: str,
+    flag: str,
+    first: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The part of ``flag_projects`` for linked rows.
+
+    They meet one summary row per link, which lists the project heads of that link.
+    """
     linked = df.filter(rule.linked())
     dated = linked.filter(F.col(rule.date).isNotNull())
     if rule.window_months > 0:
@@ -116,7 +119,7 @@ def flag_projects(
     links = per_link.groupBy(F.col("_link").alias(rule.link)).agg(
         F.min("_first").alias(first), F.sum("_rows").alias("_rows"), *heads
     )
-    linked = lookup_join(
+    joined = lookup_join(
         linked,
         links,
         [rule.link],
@@ -124,10 +127,27 @@ def flag_projects(
         spread_by=[row_id],
         broadcast_rows=broadcast_rows,
     )
-    linked = linked.select(
+    return joined.select(
         *df.columns, first, F.when(F.col(rule.date).isNull(), True).otherwise(is_head).alias(flag)
     )
-    return loose.unionByName(linked)
+
+
+def flag_projects(
+    df: DataFrame,
+    rule: ProjectRule,
+    row_id: str,
+    *,
+    flag: str = "is_first_at_address",
+    first: str = "first_at_address",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add ``first`` (earliest date at the link) and ``flag`` (this row stands for its project).
+
+    ``row_id`` must be unique; it settles ties that the rule leaves open.
+    """
+    return flag_unlinked(df, rule, flag, first).unionByName(
+        flag_linked(df, rule, row_id, flag, first, broadcast_rows)
+    )
 
 
 def window_sensitivity(df: DataFrame, rule: ProjectRule, windows: Sequence[int]) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from coverlens.plans.params import ExportParams, StudyParams
 
 ROW_ID = "tts_row0"
+# keeps the row IDs of the copies clear of the originals, whatever the scale
+COPY_OFFSET = 1_000_000_000_000
 
 STUDY = StudyParams(
     start_date="1996-01-01",
@@ -79,7 +81,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 )
 SELECT * FROM base
 UNION ALL
-SELECT tts_row0 + 10000000 AS tts_row0, installation_date, state, city, zip_code, utility_service_territory,
+SELECT tts_row0 + 1000000000000 AS tts_row0, installation_date, state, city, zip_code, utility_service_territory,
   customer_segment, PV_system_size_DC, total_installed_price, rebate_or_grant, third_party_owned,
   loan_inferred, loan_inferred_confidence, technology_type, ground_mounted, battery_rated_capacity_kWh,
   installer_name, med_inc_HH_tract, med_inc_HH_state, TTS_link_ID, data_provider_1, concat(system_ID_1,
@@ -93,13 +95,28 @@ WHERE tts_row0 % 8 = 1 AND TTS_link_ID <> '-1'
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in records for one scale of the test tables."""
+    """The stand-in records for one scale of the test tables.
+
+    Same rows as ``STANDIN_SQL``, but its second branch, the exact copies, is made by repeating
+    rows of the first, so the tables are read and joined once.
+    """
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
-    text = STANDIN_SQL.replace(
+    select = STANDIN_SQL[STANDIN_SQL.index("SELECT") : STANDIN_SQL.rindex("SELECT * FROM base")]
+    select = select[: select.rindex(")")].replace(
         "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
         "FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
     )
-    return spark.sql(text, **tables)
+    base = spark.sql(select, **tables)
+    copied = (F.col(ROW_ID) % 8 == 1) & (F.col("TTS_link_ID") != "-1")
+    copies = F.when(copied, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    repeated = base.withColumn("_copy", F.explode(copies))
+    second = F.col("_copy") == 1
+    return repeated.withColumns(
+        {
+            ROW_ID: F.col(ROW_ID) + F.col("_copy") * F.lit(COPY_OFFSET),
+            "system_ID_1": F.when(second, F.concat("system_ID_1", F.lit("b"))).otherwise(F.col("system_ID_1")),
+        }
+    ).drop("_copy")
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
