@@ -89,7 +89,7 @@ def _resolved(
             answer = F.when(F.col(f"{tag}hit"), F.col(f"{tag}v_{name}")).otherwise(answer)
         return answer
 
-    columns = [rows[c] for c in rows.columns] + [first_answer(c).alias(c) for c in payload]
+    columns = [*rows.columns, *[first_answer(c).alias(c) for c in payload]]
     if hit:
         columns.append(F.coalesce(*[F.col(f"{tag}hit") for tag in tags], F.lit(False)).alias(hit))
     return joined.select(*columns)

@@ -91,7 +91,7 @@ def flag_unlinked(df: DataFrame, rule: ProjectRule, flag: str, first: str) -> Da
     by_code = loose.groupBy(F.col(rule.link).alias("_code")).agg(F.min(rule.date).alias(first))
     return loose.join(
         F.broadcast(by_code), loose[rule.link].eqNullSafe(by_code["_code"]), "left"
-    ).select(*[loose[c] for c in df.columns], first, F.lit(True).alias(flag))
+    ).select(*df.columns, first, F.lit(True).alias(flag))
 
 
 def flag_linked(

@@ -1,7 +1,7 @@
 """Ready-made plans: the reports, the cleaned export and its checks."""
 
 from coverlens.plans.checks import CheckFailed, accounting, export_metrics, verify_export
-from coverlens.plans.export import export_systems, pv_rows
+from coverlens.plans.export import export_systems, pv_rows, write_export
 from coverlens.plans.params import ExportParams, StudyParams
 from coverlens.plans.reports import REPORTS, run_report, write_reports
 from coverlens.plans.summaries import band_summary, flag_summary, median_summary, method_counts
@@ -21,5 +21,6 @@ __all__ = [
     "pv_rows",
     "run_report",
     "verify_export",
+    "write_export",
     "write_reports",
 ]

@@ -154,3 +154,44 @@ EXPORT_COLUMNS = (
     "tract_med_inc_k",
     "tract_med_inc_owner_occ_k",
 )
+
+# --- fixed values: input columns the reports and the export read -------------------------------
+INPUT_COLUMNS = (
+    "installation_date",
+    "state",
+    "city",
+    "zip_code",
+    "utility_service_territory",
+    "customer_segment",
+    "technology_type",
+    "installer_name",
+    "PV_system_size_DC",
+    "total_installed_price",
+    "rebate_or_grant",
+    "battery_price",
+    "battery_rated_capacity_kW",
+    "battery_rated_capacity_kWh",
+    "inverter_loading_ratio",
+    "third_party_owned",
+    "third_party_owned_inferred",
+    "loan_inferred",
+    "cash_inferred",
+    "self_installed",
+    "ground_mounted",
+    "tracking",
+    "new_construction",
+    "third_party_owned_confidence",
+    "loan_inferred_confidence",
+    "cash_inferred_confidence",
+    "med_inc_HH_tract",
+    "med_inc_HH_state",
+    "med_inc_owner_occ_HH_tract",
+    "TTS_link_ID",
+    "system_ID_1",
+    "system_ID_2",
+    "extensions_multiphase_id",
+    "data_provider_1",
+    "data_provider_2",
+    "expansion_system",
+    "multiple_phase_system",
+)

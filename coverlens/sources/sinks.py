@@ -22,6 +22,19 @@ def write_parquet(df: DataFrame, path: str, *, overwrite: bool = False, mode: st
     )
 
 
+def in_position_order(
+    df: DataFrame, position: str, last_position: int, rows_per_file: int = 5_000_000
+) -> DataFrame:
+    """Global order by a 1..``last_position`` numbering, one partition per output file.
+
+    The partition of a row follows from its position, so there is no sampling pass over the
+    input as in a sort by an arbitrary key, and no partition exceeds ``rows_per_file`` rows.
+    """
+    files = max(1, -(-last_position // rows_per_file))
+    target = F.floor((F.col(position) - 1) / F.lit(rows_per_file)).cast("int")
+    return df.repartitionById(files, target).sortWithinPartitions(position)
+
+
 def write_ordered(
     df: DataFrame,
     path: str,
@@ -31,15 +44,10 @@ def write_ordered(
     rows_per_file: int = 5_000_000,
     overwrite: bool = False,
 ) -> None:
-    """Parquet in global order of ``position``, a dense 1..``last_position`` numbering.
-
-    The file a row belongs to follows from its position, so the rows go straight to their
-    partition: no sampling pass over the input, as a sort by an arbitrary key would need.
-    """
-    files = max(1, -(-last_position // rows_per_file))
-    target = F.floor((F.col(position) - 1) / F.lit(rows_per_file)).cast("int")
-    ordered = df.repartitionById(files, target).sortWithinPartitions(position)
-    write_parquet(ordered, path, overwrite=overwrite)
+    """Parquet whose files, read in name order, are sorted by ``position``."""
+    write_parquet(
+        in_position_order(df, position, last_position, rows_per_file), path, overwrite=overwrite
+    )
 
 
 def write_csv_report(
