@@ -10,7 +10,7 @@ from coverlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("coverlens-tests", cpus=8)
+    session = local_session("coverlens-tests", cpus=8, spark__sql__maxMetadataValueLength="5000")
     yield session
     session.stop()
 
