@@ -6,9 +6,7 @@ from coverlens.operators.lookup import lookup_join, same_key
 from coverlens.operators.projects import (
     ProjectRule,
     first_of_project,
-    flag_linked,
     flag_projects,
-    flag_unlinked,
     window_sensitivity,
 )
 from coverlens.operators.selection import exact_median, ntile_expression, order_statistics
@@ -33,9 +31,7 @@ __all__ = [
     "fallback_medians",
     "first_of_project",
     "flag_exact_duplicates",
-    "flag_linked",
     "flag_projects",
-    "flag_unlinked",
     "gap_report",
     "growth",
     "impute_from_medians",

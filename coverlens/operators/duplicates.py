@@ -29,7 +29,6 @@ class DuplicateRule:
 def flag_exact_duplicates(
     df: DataFrame,
     rule: DuplicateRule,
-    row_id: str,
     *,
     flag: str = "exact_duplicate",
     broadcast_rows: int = BROADCAST_ROWS,
@@ -50,7 +49,6 @@ def flag_exact_duplicates(
         copies,
         list(rule.keys),
         weight="_rows",
-        spread_by=[row_id],
         hit="_copied",
         eligible=~rule.excluded(),
         broadcast_rows=broadcast_rows,

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from coverlens.session import BROADCAST_ROWS, materialize
 
-# Sub-keys over which the rows of one heavy key are spread in a shuffled join.
-_SPREAD = 4096
-
-
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "") -> Column:
     """Null-safe equality on ``keys``; ``prefix`` is put before the right-hand names."""
     tests = [left[k].eqNullSafe(right[prefix + k]) for k in keys]
@@ -26,7 +22,6 @@ def lookup_join(
     keys: Sequence[str],
     *,
     weight: str,
-    spread_by: Sequence[str],
     hit: str | None = None,
     eligible: Column | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -35,41 +30,29 @@ def lookup_join(
 
     ``weight`` names the column of ``table`` that says how many rows share a key. The table is
     written once and counted. Up to ``broadcast_rows`` entries it is broadcast and ``rows`` do not
-    move. Beyond that only the ``broadcast_rows`` heaviest keys are broadcast; the rest goes
-    through a shuffle in which rows of heavy keys, already answered, are spread by ``spread_by``.
-    A key that stays in the shuffle holds at most ``len(rows) / broadcast_rows`` rows.
-    NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column, and
-    ``eligible`` marks the rows that can match at all: the others are spread in the same way.
+    move. Beyond that the ``broadcast_rows`` heaviest keys are broadcast; rows they answer, and
+    rows that are not ``eligible`` for a match, still do not move, and only the others are
+    shuffled. A key among those holds at most ``len(rows) / broadcast_rows`` rows.
+    NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column.
     """
     table = materialize(table)
     payload = [c for c in table.columns if c not in keys and c != weight]
     if table.count() <= broadcast_rows:
-        side = _renamed(table, keys, payload, "_t_")
-        joined = rows.join(F.broadcast(side), same_key(rows, side, keys, "_t_k_"), "left")
-        return _resolved(rows, joined, payload, ["_t_"], hit)
+        heavy = _renamed(table, keys, payload, "_h_")
+        joined = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
+        return _resolved(rows, joined, payload, "_h_", hit)
 
-    heavy = table.orderBy(F.desc(weight), *keys).limit(broadcast_rows)
-    heavy = _renamed(heavy, keys, payload, "_h_")
+    heaviest = table.orderBy(F.desc(weight), *keys).limit(broadcast_rows)
+    heavy = _renamed(heaviest, keys, payload, "_h_")
     answered = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
-    spread = F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))
-    settled = F.coalesce(F.col("_h_hit"), F.lit(False))
+    settled = F.col("_h_hit").isNotNull()
     if eligible is not None:
         settled = settled | ~F.coalesce(eligible, F.lit(False))
-    answered = answered.withColumn(
-        "_salt", F.when(settled, spread).otherwise(F.lit(0)).cast("long")
-    )
+    done = _resolved(rows, answered.filter(settled), payload, "_h_", hit)
+    open_rows = answered.filter(~settled).select(*rows.columns)
     light = _renamed(table, keys, payload, "_l_")
-    # Always 0, but computed per row: a literal would let the optimizer turn the salt test into
-    # a one-sided filter, and the shuffle would fall back to the bare key.
-    light = light.withColumn(
-        "_l_salt", F.pmod(F.xxhash64(*[f"_l_k_{k}" for k in keys]), F.lit(1)).cast("long")
-    )
-    joined = answered.join(
-        light,
-        same_key(answered, light, keys, "_l_k_") & (answered["_salt"] == light["_l_salt"]),
-        "left",
-    )
-    return _resolved(rows, joined, payload, ["_h_", "_l_"], hit)
+    joined = open_rows.join(light, same_key(open_rows, light, keys, "_l_k_"), "left")
+    return done.unionByName(_resolved(rows, joined, payload, "_l_", hit))
 
 
 def _renamed(table: DataFrame, keys: Sequence[str], payload: Sequence[str], tag: str) -> DataFrame:
@@ -81,15 +64,9 @@ def _renamed(table: DataFrame, keys: Sequence[str], payload: Sequence[str], tag:
 
 
 def _resolved(
-    rows: DataFrame, joined: DataFrame, payload: Sequence[str], tags: Sequence[str], hit: str | None
+    rows: DataFrame, joined: DataFrame, payload: Sequence[str], tag: str, hit: str | None
 ) -> DataFrame:
-    def first_answer(name: str) -> Column:
-        answer = F.col(f"{tags[-1]}v_{name}")
-        for tag in tags[:-1]:
-            answer = F.when(F.col(f"{tag}hit"), F.col(f"{tag}v_{name}")).otherwise(answer)
-        return answer
-
-    columns = [*rows.columns, *[first_answer(c).alias(c) for c in payload]]
+    columns = [*rows.columns, *[F.col(f"{tag}v_{c}").alias(c) for c in payload]]
     if hit:
-        columns.append(F.coalesce(*[F.col(f"{tag}hit") for tag in tags], F.lit(False)).alias(hit))
+        columns.append(F.col(f"{tag}hit").isNotNull().alias(hit))
     return joined.select(*columns)

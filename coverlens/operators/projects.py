@@ -81,73 +81,46 @@ def first_of_project(df: DataFrame, rule: ProjectRule, payload: Sequence[str]) -
     return _windows(months, rule).select(*[F.col(f"_head.{c}").alias(c) for c in payload])
 
 
-def flag_unlinked(df: DataFrame, rule: ProjectRule, flag: str, first: str) -> DataFrame:
-    """The part of ``flag_projects`` for rows without a link; they never move.
-
-    Each is a project of its own, and its ``first`` is the earliest date of its missing code.
-    """
-    loose = df.filter(~rule.linked())
-    # One row per missing code (plus NULL when that counts as missing): a fixed handful.
-    by_code = loose.groupBy(F.col(rule.link).alias("_code")).agg(F.min(rule.date).alias(first))
-    return loose.join(
-        F.broadcast(by_code), loose[rule.link].eqNullSafe(by_code["_code"]), "left"
-    ).select(*df.columns, first, F.lit(True).alias(flag))
-
-
-def flag_linked(
+def flag_projects(
     df: DataFrame,
     rule: ProjectRule,
     row_id: str,
-    flag: str,
-    first: str,
+    *,
+    flag: str = "is_first_at_address",
+    first: str = "first_at_address",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """The part of ``flag_projects`` for linked rows.
+    """Add ``first`` (earliest date at the link) and ``flag`` (this row stands for its project).
 
-    They meet one summary row per link, which lists the project heads of that link.
+    ``row_id`` must be unique; it settles ties that the rule leaves open. Rows meet one summary
+    row per link, which lists the project heads of that link. Missing codes are links in that
+    table too: their rows get the earliest date of their code, as in SQL, and always stand alone.
     """
-    linked = df.filter(rule.linked())
-    dated = linked.filter(F.col(rule.date).isNotNull())
+    dated = df.filter(F.col(rule.date).isNotNull())
+    linked, loose = dated.filter(rule.linked()), dated.filter(~rule.linked())
+    codes = loose.groupBy(rule.link).agg(
+        F.min(rule.date).alias(first), F.count(F.lit(1)).alias("_rows")
+    )
     if rule.window_months > 0:
-        months = _months(dated, rule, F.min(_head(rule, [row_id])).alias("_head"))
+        months = _months(linked, rule, F.min(_head(rule, [row_id])).alias("_head"))
         per_link = _windows(months, rule)
         # at most one head per window of the calendar
         heads = [F.collect_list(f"_head.{row_id}").alias("_heads")]
         is_head = F.array_contains("_heads", F.col(row_id))
     else:
-        per_link, heads, is_head = _months(dated, rule), [], F.lit(True)
+        per_link, heads, is_head = _months(linked, rule), [], F.lit(True)
     links = per_link.groupBy(F.col("_link").alias(rule.link)).agg(
         F.min("_first").alias(first), F.sum("_rows").alias("_rows"), *heads
     )
     joined = lookup_join(
-        linked,
-        links,
+        df,
+        links.unionByName(codes, allowMissingColumns=True),
         [rule.link],
         weight="_rows",
-        spread_by=[row_id],
         broadcast_rows=broadcast_rows,
     )
-    return joined.select(
-        *df.columns, first, F.when(F.col(rule.date).isNull(), True).otherwise(is_head).alias(flag)
-    )
-
-
-def flag_projects(
-    df: DataFrame,
-    rule: ProjectRule,
-    row_id: str,
-    *,
-    flag: str = "is_first_at_address",
-    first: str = "first_at_address",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Add ``first`` (earliest date at the link) and ``flag`` (this row stands for its project).
-
-    ``row_id`` must be unique; it settles ties that the rule leaves open.
-    """
-    return flag_unlinked(df, rule, flag, first).unionByName(
-        flag_linked(df, rule, row_id, flag, first, broadcast_rows)
-    )
+    ranked = rule.linked() & F.col(rule.date).isNotNull()
+    return joined.select(*df.columns, first, F.when(ranked, is_head).otherwise(True).alias(flag))
 
 
 def window_sensitivity(df: DataFrame, rule: ProjectRule, windows: Sequence[int]) -> DataFrame:

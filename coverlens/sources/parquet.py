@@ -32,7 +32,6 @@ def with_row_position(spark: SparkSession, path: str, name: str = "tts_row") ->
         files,
         ["_file"],
         weight="_rows",
-        spread_by=["_file", "_index"],
         broadcast_rows=FILE_TABLE_ROWS,
     )
     return rows.select(*columns, (F.col("_offset") + F.col("_index") + 1).alias(name))

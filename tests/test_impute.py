@@ -15,7 +15,7 @@ def test_falls_back_from_cell_to_year_to_everything(spark):
     frame = spark.createDataFrame(rows, "id long, yr long, seg string, ratio double")
     usable = [r for r in rows if r[3] is not None and 0.8 <= r[3] <= 2.0]
     medians = fallback_medians(frame, "ratio", ["yr", "seg"], (0.8, 2.0))
-    got = {r["id"]: r["median"] for r in impute_from_medians(frame, medians, ["yr", "seg"], "id", min_cell=30).collect()}
+    got = {r["id"]: r["median"] for r in impute_from_medians(frame, medians, ["yr", "seg"], min_cell=30).collect()}
     for i, yr, seg, _ in rows:
         fine = [r[3] for r in usable if r[1:3] == (yr, seg)] if None not in (yr, seg) else []
         coarse = [r[3] for r in usable if r[1] == yr] if yr is not None else []
@@ -27,5 +27,5 @@ def test_falls_back_from_cell_to_year_to_everything(spark):
 def test_nothing_plausible_gives_null(spark):
     frame = spark.createDataFrame([(1, 2018, "A", 9.0)], "id long, yr long, seg string, ratio double")
     medians = fallback_medians(frame, "ratio", ["yr", "seg"], (0.8, 2.0))
-    filled = impute_from_medians(frame, medians, ["yr", "seg"], "id", min_cell=30)
+    filled = impute_from_medians(frame, medians, ["yr", "seg"], min_cell=30)
     assert filled.first()["median"] is None

@@ -113,7 +113,7 @@ def test_sensitivity_matches_flags_and_nests(spark):
 def test_exact_duplicates(spark, broadcast_rows):
     rows = records(3, 800)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = flag_exact_duplicates(frame, DuplicateRule(), "id", broadcast_rows=broadcast_rows)
+    got = flag_exact_duplicates(frame, DuplicateRule(), broadcast_rows=broadcast_rows)
     counts = {}
     for r in rows:
         counts[(r[1], r[3], r[6])] = counts.get((r[1], r[3], r[6]), 0) + 1
@@ -129,7 +129,7 @@ def test_lookup_join_keeps_rows_and_resolves_both_sides(spark, broadcast_rows):
     frame = spark.createDataFrame(rows, "id long, k string")
     table = frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     table = table.filter("k is null or k <> 'k5'").withColumn("maybe", F.when(F.col("k") == "hot", "x"))
-    got = lookup_join(frame, table, ["k"], weight="n", spread_by=["id"], hit="found", broadcast_rows=broadcast_rows)
+    got = lookup_join(frame, table, ["k"], weight="n", hit="found", broadcast_rows=broadcast_rows)
     last = {}
     for i, k in rows:
         last[k] = i
@@ -137,15 +137,15 @@ def test_lookup_join_keeps_rows_and_resolves_both_sides(spark, broadcast_rows):
     assert {tuple(r) for r in got.collect()} == expected and got.count() == len(rows)
 
 
-def test_rows_of_a_heavy_key_are_spread(spark):
-    """With two broadcast slots the hot key is answered by broadcast, then scattered."""
+def test_rows_of_a_heavy_key_stay_where_they_are(spark):
+    """With two broadcast slots the hot key is answered by broadcast and never shuffled."""
     rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(3000)]
-    frame = spark.createDataFrame(rows, "id long, k string")
+    frame = spark.createDataFrame(rows, "id long, k string").repartition(4)
     table = frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = lookup_join(frame, table, ["k"], weight="n", spread_by=["id"], broadcast_rows=2)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        joined = lookup_join(frame, table, ["k"], weight="n", broadcast_rows=2)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p"), "k").count().filter("k = 'hot'").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert max(r["count"] for r in sizes) < 2 * len(rows) / len(sizes)
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2 * 2000 / 4
