@@ -2,7 +2,8 @@
 
 from coverlens.operators.duplicates import DuplicateRule, flag_exact_duplicates
 from coverlens.operators.impute import fallback_medians, impute_from_medians
-from coverlens.operators.lookup import lookup_join, same_key
+from coverlens.operators.keys import same_key
+from coverlens.operators.lookup import lookup_join
 from coverlens.operators.projects import (
     ProjectRule,
     first_of_project,

@@ -62,6 +62,8 @@ def impute_from_medians(
         for key in used:
             cell = cell.filter(F.col(key).isNotNull())
         cell = cell.select(*used, F.col("median").alias(f"_median{depth}"), "_n")
-        out = lookup_join(out, cell, used, weight="_n", broadcast_rows=broadcast_rows)
+        out = lookup_join(
+            out, cell, used, weight="_n", written=True, broadcast_rows=broadcast_rows
+        )
         best.insert(0, F.col(f"_median{depth}"))
     return out.select(*df.columns, F.coalesce(*best).alias(name))

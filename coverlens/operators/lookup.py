@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverlens.operators.keys import same_key
+from coverlens.operators.selection import order_statistics
 from coverlens.session import BROADCAST_ROWS, materialize
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "") -> Column:
-    """Null-safe equality on ``keys``; ``prefix`` is put before the right-hand names."""
-    tests = [left[k].eqNullSafe(right[prefix + k]) for k in keys]
-    return reduce(lambda a, b: a & b, tests)
-
 
 def lookup_join(
     rows: DataFrame,
@@ -24,26 +20,31 @@ def lookup_join(
     weight: str,
     hit: str | None = None,
     eligible: Column | None = None,
+    written: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Attach the columns of ``table`` (unique on ``keys``) to ``rows``, keeping every row.
 
     ``weight`` names the column of ``table`` that says how many rows share a key. The table is
-    written once and counted. Up to ``broadcast_rows`` entries it is broadcast and ``rows`` do not
-    move. Beyond that the ``broadcast_rows`` heaviest keys are broadcast; rows they answer, and
-    rows that are not ``eligible`` for a match, still do not move, and only the others are
-    shuffled. A key among those holds at most ``len(rows) / broadcast_rows`` rows.
+    written once (``written``: it is already) and counted. Up to ``broadcast_rows`` entries it is
+    broadcast and ``rows`` do not move. Beyond that the heaviest keys, fewer than
+    ``broadcast_rows``, are broadcast; rows they answer, and rows that are not ``eligible`` for a
+    match, still do not move, and only the others are shuffled. A key among those holds at most
+    ``len(rows) / broadcast_rows`` rows.
     NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column.
     """
-    table = materialize(table)
+    table = table if written else materialize(table)
     payload = [c for c in table.columns if c not in keys and c != weight]
-    if table.count() <= broadcast_rows:
+    entries = table.count()
+    if entries <= broadcast_rows:
         heavy = _renamed(table, keys, payload, "_h_")
         joined = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
         return _resolved(rows, joined, payload, "_h_", hit)
 
-    heaviest = table.orderBy(F.desc(weight), *keys).limit(broadcast_rows)
-    heavy = _renamed(heaviest, keys, payload, "_h_")
+    # The weight that fewer than broadcast_rows keys exceed; found by counting, without a sort.
+    cut = order_statistics(table, [], weight, {"cut": F.lit(entries - broadcast_rows)}).first()
+    heaviest = F.col(weight) > F.lit(cut["_value"]) if cut else F.lit(False)
+    heavy = _renamed(table.filter(heaviest), keys, payload, "_h_")
     answered = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
     settled = F.col("_h_hit").isNotNull()
     if eligible is not None:

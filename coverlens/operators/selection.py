@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlens.operators.lookup import same_key
+from coverlens.operators.keys import same_key
 from coverlens.session import BROADCAST_ROWS, materialize
 
 _STEPS_PER_OCTAVE = 1024

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlens.functions import round_to, safe_ratio, share
-from coverlens.operators.lookup import same_key
+from coverlens.operators.keys import same_key
 from coverlens.operators.selection import exact_median
 
 # Amounts are kept raw in the intermediate columns; a code or a 0 is NULL there, so plain
