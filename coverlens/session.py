@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 250_000
 
 # A projection of fifty coded columns compiles to one method above the 8,000 bytecodes at which
-# the JVM stops compiling to machine code; without this it runs interpreted, 3-4 times slower.
+# the JVM stops compiling to machine code; without this it runs interpreted, 2-3.5 times slower.
 # Clusters want the same in spark.executor.extraJavaOptions.
 JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
 
