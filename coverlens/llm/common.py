@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _ROOT = Path(__file__).resolve().parents[2]
 _PACKAGE = Path(__file__).resolve().parents[1]
@@ -62,7 +63,7 @@ def ship(spark: SparkSession) -> None:
     context._coverlens_shipped = True
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package importable on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
