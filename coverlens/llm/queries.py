@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontaminate, packing, simhash, topk, toxicity, warc, wordpieces
+from coverlens.llm import decontaminate, lm, packing, simhash, topk, toxicity, warc, wordpieces
 from coverlens.llm.common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), new_path(spark, "archives"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_topk": op3_topk,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES: dict[str, str] = {

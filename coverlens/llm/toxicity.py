@@ -1,8 +1,10 @@
 """Toxicity by subword bags: character n-gram vectors, averaged, into a linear softmax.
 
-The n-gram vectors and the softmax are trained together in numpy on a bounded sample of labelled
-texts. As the averaged vector enters linearly, a text's score is the average of one number per n-gram,
-so scoring is one pass over the bytes, and a misspelling scores by the n-grams that it still shares.
+A text's bag holds the character n-grams of its distinct words. The n-gram vectors and the softmax are
+trained together in numpy on a bounded sample of labelled texts; n-grams that are about as frequent in
+both classes keep a zero vector. As the averaged vector enters linearly, a text's score is the average
+of one number per n-gram, so scoring is one pass over the bytes, and a misspelling scores by the
+n-grams that it still shares.
 """
 
 from __future__ import annotations
@@ -19,21 +21,23 @@ from pyspark.sql.types import StructType
 from coverlens.llm.common import map_arrow, slices, text_bytes, values
 
 #: At most so many labelled texts of each class are learnt from, the least by a hash of their ids.
-SAMPLE_ROWS = 1500
-GRAMS = (3, 4, 5)
+SAMPLE_ROWS = 2000
+GRAMS = (4, 6)
 BUCKET_BITS = 18
-DIMENSIONS = 8
-EPOCHS = 12
-RATE = 0.3
+DIMENSIONS = 4
+EPOCHS = 15
+RATE = 1.0
+#: N-grams in fewer sampled texts, or whose shares of texts differ between the classes by fewer
+#: standard errors, are not learnt from.
+LEAST_TEXTS = 5
+LEAST_DIFFERENCE = 6.0
+#: An average counts so many more n-grams of no effect, so that a few do not decide on a short text.
+PAD_GRAMS = 200
 #: The averages are of the order of a rare n-gram's share of a text; this brings them near one.
 GAIN = 64.0
 HOLD_OUT = 5
 _TEXT_BYTES = 2_000_000
 
-_FOLD = np.arange(256, dtype=np.uint32)
-_FOLD[65:91] += 32
-_FOLD[9:14] = 32
-
 
 @dataclass
 class Model:
@@ -43,14 +47,18 @@ class Model:
     bias: float
 
 
+def distinct_words(text: bytes) -> bytes:
+    """The words of a text, A-Z lower-cased, each once in order of its first place."""
+    return b" ".join(dict.fromkeys(text.lower().split()))
+
+
 def gram_buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: (positions, buckets) of the n-grams of all texts, laid out one behind another.
 
-    A text takes its length and 2 positions: a blank stands before and after it. White space may
-    begin or end an n-gram but not stand inside, so that a word's first and last ones are told apart.
+    A text takes its length and 2 positions: a blank stands before and after it. A blank may begin
+    or end an n-gram but not stand inside, so that a word's first and last ones are told apart.
     """
-    raw = np.frombuffer(b"".join(b" " + text + b" " for text in texts), np.uint8)
-    codes = _FOLD[raw]
+    codes = np.frombuffer(b"".join(b" " + text + b" " for text in texts), np.uint8).astype(np.uint32)
     blanks = np.concatenate([[0], np.cumsum(codes == 32)])
     mixed = codes.copy()
     for n in range(2, max(GRAMS) + 1):
@@ -70,6 +78,7 @@ def _bounds(texts: list[bytes]) -> np.ndarray:
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
+    texts = [distinct_words(text) for text in texts]
     bounds = _bounds(texts)
     total, number = np.zeros(len(texts)), np.zeros(len(texts))
     for at, buckets in gram_buckets(texts):
@@ -77,7 +86,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
         cuts = np.searchsorted(at, bounds)
         total += np.diff(sums[cuts])
         number += np.diff(cuts)
-    logit = model.bias + GAIN * total / np.maximum(number, 1)
+    logit = model.bias + GAIN * total / (number + PAD_GRAMS)
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -86,55 +95,69 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text in values(batch.column("body")):
-            found = [buckets for _, buckets in gram_buckets([text])]
+            found = [buckets for _, buckets in gram_buckets([distinct_words(text)])]
             buckets, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint32)]), return_counts=True)
-            share = (n / max(1, n.sum())).astype(np.float32)
+            share = (n / (n.sum() + PAD_GRAMS)).astype(np.float32)
             out.append((buckets.astype(np.int32).tobytes(), share.tobytes()))
         columns = [pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)]
         order = [batch.column("doc_id"), batch.column("toxic"), *columns]
         yield pa.record_batch(order, ["doc_id", "toxic", "buckets", "shares"])
 
 
+def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Which buckets' shares of texts differ clearly between the classes."""
+    texts = np.zeros((2, 1 << BUCKET_BITS))
+    for (buckets, _), label in zip(bags, labels, strict=True):
+        texts[label, buckets] += 1
+    n = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
+    share = texts.sum(0) / n.sum()
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n).sum())
+    differs = np.abs(texts[1] / n[1] - texts[0] / n[0]) >= LEAST_DIFFERENCE * error
+    return differs & (texts.sum(0) >= LEAST_TEXTS)
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: float) -> Model:
-    """Vectors and softmax by mini-batches with per-weight step sizes (Adagrad); deterministic.
+    """Vectors and softmax by mini-batches with a step size per vector (Adagrad); deterministic.
 
-    odds: of label 1 among all labelled rows; the sample has the classes in other shares.
+    odds: of label 1 among all labelled rows. The sample is weighed as if both classes were as
+    frequent; the bias moves half-way to the real odds.
     """
+    kept = telling(bags, labels)
+    bags = [(buckets[kept[buckets]], shares[kept[buckets]]) for buckets, shares in bags]
     rng = np.random.default_rng(0)
-    vectors = (rng.standard_normal((1 << BUCKET_BITS, DIMENSIONS)) * 0.05).astype(np.float32)
+    vectors = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.float32)
     softmax = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
+    softmax[:, 1] = -softmax[:, 0]
     bias = np.zeros(2, np.float32)
-    seen = [np.full_like(w, 1e-6) for w in (vectors, softmax, bias)]
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    weight = (weight * len(labels)).astype(np.float32)
-    for _ in range(EPOCHS):
+    seen, seen_softmax, seen_bias = np.full(len(vectors), 1e-6, np.float32), 1e-6, 1e-6
+    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) * len(labels)
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(labels))
-        for start in range(0, len(order), 32):
-            rows = order[start : start + 32]
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            owner = np.repeat(np.arange(len(rows)), sizes)
+        for start in range(0, len(order), 64):
+            rows = order[start : start + 64]
+            owner = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
             buckets = np.concatenate([bags[r][0] for r in rows])
-            share = np.concatenate([bags[r][1] for r in rows]) * np.float32(GAIN)
-            if not len(buckets):
-                continue
+            shares = np.concatenate([bags[r][1] for r in rows]) * np.float32(GAIN)
             used, place = np.unique(buckets, return_inverse=True)
-            parts = vectors[buckets] * share[:, None]
+            parts = vectors[buckets] * shares[:, None]
             hidden = np.stack([np.bincount(owner, parts[:, d], len(rows)) for d in range(DIMENSIONS)], 1)
             logits = hidden @ softmax + bias
-            odd = np.exp(logits - logits.max(1, keepdims=True))
-            odd /= odd.sum(1, keepdims=True)
-            odd[np.arange(len(rows)), labels[rows]] -= 1
-            odd *= weight[rows][:, None] / len(rows)
-            back = (odd @ softmax.T)[owner] * share[:, None]
+            error = np.exp(logits - logits.max(1, keepdims=True))
+            error /= error.sum(1, keepdims=True)
+            error[np.arange(len(rows)), labels[rows]] -= 1
+            error *= weight[rows][:, None] / len(rows)
+            back = (error @ softmax.T)[owner] * shares[:, None]
             slope = np.stack([np.bincount(place, back[:, d], len(used)) for d in range(DIMENSIONS)], 1)
-            for array, past, at, step in (
-                (vectors, seen[0], used, slope),
-                (softmax, seen[1], slice(None), hidden.T @ odd),
-                (bias, seen[2], slice(None), odd.sum(0)),
-            ):
-                past[at] += step**2
-                array[at] -= RATE * step / np.sqrt(past[at])
-    return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0] + np.log(odds)))
+            slope_softmax, slope_bias = hidden.T @ error, error.sum(0)
+            seen[used] += (slope**2).sum(1)
+            seen_softmax += (slope_softmax**2).sum()
+            seen_bias += (slope_bias**2).sum()
+            vectors[used] -= rate * slope / np.sqrt(seen[used])[:, None]
+            softmax -= rate * slope_softmax / np.sqrt(seen_softmax)
+            bias -= rate * slope_bias / np.sqrt(seen_bias)
+    margins = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
+    return Model(margins, float(bias[1] - bias[0] + np.log(odds) / 2))
 
 
 def _remainder():
