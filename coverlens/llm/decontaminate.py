@@ -28,6 +28,9 @@ AROUND = 64
 BROADCAST_SEEDS = 500_000
 #: Keys of leaking documents up to this number (16 bytes each) are broadcast, else joined by a shuffle.
 BROADCAST_LEAKS = 1_000_000
+#: Up to this number the seeds themselves (8 bytes each) go to every task, so that it reports true hits
+#: only; beyond it those that pass the filter are reported, and the join parts them.
+EXACT_SEEDS = 4_000_000
 #: Bits of the filter of seed hashes that every task gets: 16 a seed, 16 MB at most.
 FILTER_BITS = (16, 27)
 _TEXT_BYTES = 2_000_000
@@ -121,8 +124,11 @@ def _masks(n_words: int) -> list[int]:
     return long or [len(MASKS) - 1]
 
 
-def _hits_of(bits: np.ndarray, shift: int, used: list[int]):
-    """Documents -> their stretches around possible hits, with the hits' seeds and places."""
+def _hits_of(bits: np.ndarray, shift: int, exact: np.ndarray | None, used: list[int]):
+    """Documents -> their stretches around possible hits, with the hits' seeds and places.
+
+    bits: the filter; exact: all seeds, sorted, if there are not too many; used: the items' masks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row_hash", "start", "words", "seeds", "places"]
@@ -135,6 +141,9 @@ def _hits_of(bits: np.ndarray, shift: int, used: list[int]):
                     own = seeds(words, mask)
                     slot = own >> np.uint64(shift)
                     at = np.nonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)[0]
+                    if exact is not None:
+                        near = np.searchsorted(exact, own[at])
+                        at = at[exact[np.minimum(near, len(exact) - 1)] == own[at]]
                     text = np.searchsorted(bounds, at, "right") - 1
                     inside = at + len(MASKS[mask]) <= bounds[text + 1]
                     found.append((at[inside], own[at[inside]], text[inside]))
@@ -219,12 +228,16 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     all_seeds = written(all_seeds, "seeds")
     n_seeds = all_seeds.count()
     bits, shift = _filter(all_seeds, n_seeds)
+    exact = None
+    if 0 < n_seeds <= EXACT_SEEDS:
+        exact = np.unique(all_seeds.select("seed").toArrow().column("seed").to_numpy().view(np.uint64))
+    # The last mask is laid only where an item is too short for the others.
+    short = tests.where(F.length("item_words") <= 8 * len(MASKS[0])).limit(1).count()
+    used = list(range(len(MASKS) if short else len(MASKS) - 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     schema = "doc_id long, row_hash long, start long, words binary, seeds array<long>, places array<long>"
-    near = map_arrow(
-        texts.withColumn("row_hash", F.xxhash64("body")), _hits_of(bits, shift, list(range(len(MASKS)))), schema
-    )
-    near = written(near, "stretches")
+    texts = texts.withColumn("row_hash", F.xxhash64("body"))
+    near = written(map_arrow(texts, _hits_of(bits, shift, exact, used), schema), "stretches")
     hits = near.select("doc_id", "row_hash", "start", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("doc_id", "row_hash", "start", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     joined = hits.join(F.broadcast(all_seeds) if n_seeds <= BROADCAST_SEEDS else all_seeds, "seed")

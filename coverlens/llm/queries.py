@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontaminate, lm, packing, simhash, topk, toxicity, warc, wordpieces
+from coverlens.llm import decontaminate, licenses, lm, packing, pii, simhash, topk, toxicity, warc, wordpieces
 from coverlens.llm.common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files <source>/<lang>/<doc_id>.txt."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"(-?[0-9]+)\.txt$", 1).cast("long").alias("doc_id")
+    return found.select(doc_id, "path", "license", "score", "via", "from_path")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -32,6 +41,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(_table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -55,8 +68,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_topk": op3_topk,
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
