@@ -10,15 +10,16 @@ way, with a tree of its own, down to blocks small enough to compare.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from coverlens.llm.common import map_arrow, ship, text_bytes, values, written
 from coverlens.llm.components import components
@@ -29,8 +30,17 @@ SEED = 42
 #: Fingerprints that a shard should hold, and at most so many are fetched to fit the tree.
 SHARD_ROWS = 4096
 SAMPLE_ROWS = 32_768
+#: For near copies by similarity: how far fingerprints of distinct words may be apart, how many bits
+#: more than expected at that similarity the signatures may, and the size of shards: with a longer reach
+#: more points are shown in several shards, so these are larger.
+COARSE_REACH = 6
+WIDE_SLACK = 5
+COARSE_SHARD_ROWS = 32_768
+_WIDE = ("w0", "w1", "w2", "w3")
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BLOCK = 512
 _STEP = 255 * 256
+_PAIRS = 1_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -64,7 +74,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """A bit is 1 if over half of the shingles' hashes have it; 0 for a text without words."""
-    hashes = shingle_hashes(words_of(text), size, seed)
+    return _packed(shingle_hashes(words_of(text), size, seed))
+
+
+def _packed(hashes: np.ndarray) -> int:
     set_bits = np.packbits(bit_counts(hashes) * 2 > len(hashes))
     return int.from_bytes(set_bits.tobytes(), "big")
 
@@ -142,35 +155,72 @@ class VantageTree:
             todo += [(inner, rows[near]), (outer, rows[far])]
 
 
+def _near(points: np.ndarray, rows: np.ndarray, others: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    left, right = np.nonzero(np.bitwise_count(points[rows, None] ^ points[None, others]) <= reach)
+    return rows[left], others[right]
+
+
 def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all pairs at most `reach` bits apart, in parts; a pair may come more than once."""
     tree = VantageTree(points, _BLOCK, reach)
     for _, rows in tree.shards(points):
-        part = points[rows]
-        step = max(1, 1_000_000 // len(part))
-        for start in range(0, len(part), step):
-            near = np.bitwise_count(part[start : start + step, None] ^ part[None, start:]) <= reach
-            left, right = np.nonzero(near)
-            kept = right > left
-            yield rows[start + left[kept]], rows[start + right[kept]]
-
-
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least position that each of n positions is linked with, directly or not."""
-    root = np.arange(n)
-    for left, right in pairs:
-        a, b = root[left], root[right]
-        while (differ := a != b).any():
-            low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
-            np.minimum.at(root, high, low)
-            while ((up := root[root]) != root).any():
-                root = up
-            a, b = root[low], root[high]
+        step = max(1, _PAIRS // len(rows))
+        for start in range(0, len(rows), step):
+            left, right = _near(points, rows[start : start + step], rows[start:], reach)
+            yield left[left != right], right[left != right]
+
+
+def _join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Roots after more links; root[i] <= i is the least position linked with i so far."""
+    a, b = root[left], root[right]
+    while (differ := a != b).any():
+        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        np.minimum.at(root, high, low)
+        while ((up := root[root]) != root).any():
+            root = up
+        a, b = root[low], root[high]
+    return root
+
+
+def forest(points: np.ndarray, reach: int, wide: np.ndarray | None = None, wide_reach: int = 0) -> np.ndarray:
+    """The least position that each position is linked with, directly or not.
+
+    Links are pairs at most `reach` bits apart and, if `wide` has a longer signature for each point, at
+    most `wide_reach` bits apart there. In a dense block points of one component are not compared
+    with each other any more, so that a large group of copies costs about its size, not its square.
+    """
+    root = np.arange(len(points))
+
+    def join(rows: np.ndarray, others: np.ndarray) -> None:
+        nonlocal root
+        left, right = _near(points, rows, others, reach)
+        if wide is not None and len(left):
+            fits = np.bitwise_count(wide[left] ^ wide[right]).sum(1, dtype=np.int64) <= wide_reach
+            left, right = left[fits], right[fits]
+        if len(left):
+            root = _join(root, left, right)
+
+    tree = VantageTree(points, _BLOCK, reach)
+    for _, rows in tree.shards(points):
+        if len(rows) <= 4 * _BLOCK:
+            step = max(1, _PAIRS // len(rows))
+            for start in range(0, len(rows), step):
+                join(rows[start : start + step], rows[start:])
+            continue
+        while len(rows):
+            own = root[rows] == root[rows[0]]
+            same, rows = rows[own], rows[~own]
+            step = max(1, _PAIRS // max(1, len(rows)))
+            for start in range(0, len(same), step):
+                apart = rows[root[rows] != root[same[0]]]
+                if not len(apart):
+                    break
+                join(same[start : start + step], apart)
     return root
 
 
 def _dealt(points: DataFrame, reach: int, shard_rows: int, sample_rows: int) -> DataFrame:
-    """(shard, fp): distinct fingerprints in every shard where they are shown."""
+    """`points` with a column `shard`: every row in each shard where its fingerprint `fp` is shown."""
     n = points.count()
     # At most an eighth of the fingerprints, and a bounded number, fit the tree; all are dealt out.
     share = min(0.125, sample_rows / max(n, 1))
@@ -181,13 +231,12 @@ def _dealt(points: DataFrame, reach: int, shard_rows: int, sample_rows: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False)
-            for shard, rows in tree.shards(own.view(np.uint64)):
-                yield pa.record_batch(
-                    [pa.array(np.full(len(rows), shard, np.int64)), pa.array(own[rows])], ["shard", "fp"]
-                )
+            own = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for shard, rows in tree.shards(own):
+                shown = batch.take(pa.array(rows))
+                yield shown.append_column("shard", pa.array(np.full(len(rows), shard, np.int64)))
 
-    return map_arrow(points, run, "shard long, fp long")
+    return map_arrow(points, run, StructType([*points.schema, StructField("shard", LongType())]))
 
 
 def links(
@@ -213,7 +262,7 @@ def links(
             left, right = (np.concatenate([x[i] for x in parts] or [np.zeros(0, int)]) for i in (0, 1))
             left, right = np.minimum(left, right), np.maximum(left, right)
         else:
-            root = forest(len(own), close_pairs(unsigned, reach))
+            root = forest(unsigned, reach)
             right = np.nonzero(root != np.arange(len(own)))[0]
             left = root[right]
         return pa.table({"a": own[left], "b": own[right]})
@@ -248,11 +297,77 @@ def near_copies(
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their group; columns and row stay whole.
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, fp, w0 .. w3) of every row: fp of its distinct words, w of five-word shingles.
+
+    Words repeat in near copies and differ elsewhere, so fp is close for near copies and far for all
+    other texts; the 256 bits of w estimate how many five-word shingles two texts share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row_hash", "fp", *_WIDE]
+        for batch in batches:
+            rows = []
+            for text in values(batch.column("body")):
+                words = words_of(text)
+                runs = shingle_hashes(words, 5, SEED).astype(np.uint64)
+                mixed = (runs ^ (runs >> np.uint64(31))) * _MIXERS[:, None]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIXERS[:, None]
+                first = shingle_hashes(list(dict.fromkeys(words)), 1, SEED)
+                rows.append([_packed(first), *(_packed(m.astype(">u8")) for m in mixed)])
+            bits = np.array(rows, np.uint64).reshape(-1, 5).view(np.int64)
+            arrays = [batch.column("doc_id"), batch.column("row_hash"), *(pa.array(c) for c in bits.T)]
+            yield pa.record_batch(arrays, names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    schema = "doc_id long, row_hash long, fp long, w0 long, w1 long, w2 long, w3 long"
+    return map_arrow(rows.withColumn("row_hash", F.xxhash64("body")), run, schema)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row_hash, group): rows that share a group are near copies, directly or not.
+
+    Near copies: texts whose five-word shingles have a similarity (Jaccard) of about `similarity` or
+    more, as the 256-bit signatures estimate it (a standard error of some 0.04), and whose distinct
+    words' fingerprints are at most COARSE_REACH bits apart, which about nine in ten pairs just at
+    0.8 are and nearly all at 0.9. Texts of fewer than five words are one shingle; texts without
+    words are copies of each other. row_hash tells rows that share an id apart.
+    """
+    ship(docs.sparkSession)
+    cosine = 2 * similarity / (1 + similarity)
+    wide_reach = int(256 * math.acos(cosine) / math.pi + WIDE_SLACK)
+    marked = written(signatures(docs), "signatures")
+    distinct = marked.groupBy("fp", *_WIDE).agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
+    # A point's number is a hash of its signature: it is the same whenever it is computed anew.
+    points = written(distinct.withColumn("node", F.xxhash64("fp", *_WIDE)), "points")
+
+    def join(shard: pa.Table) -> pa.Table:
+        node = shard.column("node").to_numpy()
+        order = np.argsort(node, kind="stable")
+        fp, *wide = (shard.column(c).to_numpy()[order].view(np.uint64) for c in ("fp", *_WIDE))
+        root = forest(fp, COARSE_REACH, np.stack(wide, 1), wide_reach)
+        linked = np.nonzero(root != np.arange(len(root)))[0]
+        return pa.table({"a": node[order][root[linked]], "b": node[order][linked]})
+
+    shards = _dealt(points.select("node", "fp", *_WIDE), COARSE_REACH, COARSE_SHARD_ROWS, SAMPLE_ROWS)
+    joined = components(shards.groupBy("shard").applyInArrow(join, "a long, b long"))
+    rooted = points.join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    rooted = rooted.select("fp", *_WIDE, "group")
+    return marked.join(rooted, ["fp", *_WIDE]).select("doc_id", "row_hash", "group")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row of `docs` for each group of near copies, that of the smallest doc_id; columns stay.
 
-    Repeated rows of one doc_id all stay out but one; rows with a null doc_id stay.
+    A null doc_id is the smallest; rows that share an id are told apart by their texts, and of equal
+    rows one stays. All other rows stay.
     """
-    heads = near_copies(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    groups = similar_groups(docs, similarity)
+    heads = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
+    heads = written(heads.select("head.*"), "heads")
+    rows = docs.withColumn("_row_hash", F.xxhash64(text_bytes()))
+    same_id = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id"))
+    same = same_id & (F.col("d._row_hash") == F.col("h.row_hash"))
+    kept = rows.alias("d").join(heads.alias("h"), same, "left_semi")
+    one = Window.partitionBy("doc_id", "_row_hash").orderBy("doc_id")
+    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)

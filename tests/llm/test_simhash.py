@@ -63,6 +63,35 @@ def test_cases_of_tables(spark):
     assert len(found) == 3 and {r.component_id for r in found} == {4}
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
+    assert [r.doc_id for r in kept.collect()] == [None]
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_one_of_each_similar_group_stays(spark):
+    rng = np.random.default_rng(7)
+    rows, heads = [], set()
+    for g in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 3000, 200)]
+        heads.add(10 * g)
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):  # two of 200 words replaced: a similarity of about 0.9
+            words = list(base)
+            for at in rng.choice(200, 2, replace=False):
+                words[at] = f"x{g}.{k}"
+            rows.append((10 * g + k, " ".join(words)))
+    rows += [(9000, "w1"), (9001, "w2 w3"), (9002, ""), (9003, None), (9004, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept >= heads | {9000, 9001, 9002}
+    assert len(kept - heads - {9000, 9001, 9002}) <= 3 and not kept & {9003, 9004}
+
+
+def test_dense_group_is_one_component():
+    rng = np.random.default_rng(2)
+    points = np.uint64(2**40 + 12345) ^ (np.uint64(1) << rng.integers(0, 20, 6000, dtype=np.uint64))
+    points = np.concatenate([points, rng.integers(0, 2**63, 500, dtype=np.uint64)])
+    root = simhash.forest(points, 2)
+    assert (root[:6000] == 0).all() and len(np.unique(root[6000:])) == 500
 
 
 @pytest.mark.parametrize("reach", [0, 1, 2, 5])
