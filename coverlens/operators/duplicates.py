@@ -53,4 +53,4 @@ def flag_exact_duplicates(
         eligible=~rule.excluded(),
         broadcast_rows=broadcast_rows,
     )
-    return marked.select(*df.columns, (F.col("_copied") & ~rule.excluded()).alias(flag))
+    return marked.select(*df.columns, F.col("_copied").alias(flag))

@@ -18,10 +18,11 @@ def fallback_medians(
     """Median of plausible values for every prefix of ``keys``, down to the whole table.
 
     Returns ``_level, keys, median, _n``; level ``len(keys)`` is the finest, 0 the whole table,
-    and keys beyond a level are NULL. All levels share the same two passes: each row enters
-    once per level, before the map-side combine.
+    and keys beyond a level are NULL. Equal values of a finest group are counted first; only these
+    counts enter once per level.
     """
     rows = df.filter(F.col(value).between(*plausible))
+    rows = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
     levels = F.array(
         *[
             F.struct(
@@ -34,8 +35,8 @@ def fallback_medians(
             for depth in range(len(keys) + 1)
         ]
     )
-    entered = rows.select(F.col(value), F.explode(levels).alias("_at")).select(value, "_at.*")
-    return exact_median(entered, ["_level", *keys], value)
+    entered = rows.select(value, "_times", F.explode(levels).alias("_at")).select(value, "_times", "_at.*")
+    return exact_median(entered, ["_level", *keys], value, weight="_times")
 
 
 def impute_from_medians(

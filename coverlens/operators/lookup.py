@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from coverlens.operators.keys import same_key
 from coverlens.operators.selection import order_statistics
@@ -25,30 +26,34 @@ def lookup_join(
 ) -> DataFrame:
     """Attach the columns of ``table`` (unique on ``keys``) to ``rows``, keeping every row.
 
-    ``weight`` names the column of ``table`` that says how many rows share a key. The table is
-    written once (``written``: it is already) and counted. Up to ``broadcast_rows`` entries it is
-    broadcast and ``rows`` do not move. Beyond that the heaviest keys, fewer than
-    ``broadcast_rows``, are broadcast; rows they answer, and rows that are not ``eligible`` for a
-    match, still do not move, and only the others are shuffled. A key among those holds at most
-    ``len(rows) / broadcast_rows`` rows.
+    Only ``eligible`` rows (default: all) can match; the others get NULLs, whatever their key and
+    whatever the size of ``table``. ``weight`` names the column of ``table`` that says how many rows
+    share a key; ``table`` should list every key that eligible rows have often.
+    The table is written once (``written``: it is already) and measured in cells: one for each
+    entry and one for each element of its arrays. Up to ``broadcast_rows`` cells it is broadcast
+    and ``rows`` do not move. Beyond that the heaviest keys, as many as are sure to stay within
+    that number of cells, are broadcast; rows they answer, and rows that cannot match, still do
+    not move, and only the others are shuffled.
     NULL keys match NULL keys. ``hit`` optionally names a boolean "a match exists" column.
     """
     table = table if written else materialize(table)
     payload = [c for c in table.columns if c not in keys and c != weight]
-    entries = table.count()
-    if entries <= broadcast_rows:
+    able = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    entries, cells, widest = _measured(table, payload)
+    if cells <= broadcast_rows:
         heavy = _renamed(table, keys, payload, "_h_")
-        joined = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
+        joined = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_") & able, "left")
         return _resolved(rows, joined, payload, "_h_", hit)
 
-    # The weight that fewer than broadcast_rows keys exceed; found by counting, without a sort.
-    cut = order_statistics(table, [], weight, {"cut": F.lit(entries - broadcast_rows)}).first()
+    # The weight that fewer keys exceed than fit; found by counting, without a sort.
+    fitting = broadcast_rows // widest
+    cut = None
+    if fitting:
+        cut = order_statistics(table, [], weight, {"cut": F.lit(max(0, entries - fitting))}).first()
     heaviest = F.col(weight) > F.lit(cut["_value"]) if cut else F.lit(False)
     heavy = _renamed(table.filter(heaviest), keys, payload, "_h_")
-    answered = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_"), "left")
-    settled = F.col("_h_hit").isNotNull()
-    if eligible is not None:
-        settled = settled | ~F.coalesce(eligible, F.lit(False))
+    answered = rows.join(F.broadcast(heavy), same_key(rows, heavy, keys, "_h_k_") & able, "left")
+    settled = F.col("_h_hit").isNotNull() | ~able
     done = _resolved(rows, answered.filter(settled), payload, "_h_", hit)
     open_rows = answered.filter(~settled).select(*rows.columns)
     light = _renamed(table, keys, payload, "_l_")
@@ -56,6 +61,18 @@ def lookup_join(
     return done.unionByName(_resolved(rows, joined, payload, "_l_", hit))
 
 
+def _measured(table: DataFrame, payload: Sequence[str]) -> tuple[int, int, int]:
+    """(entries, cells, cells of the widest entry)."""
+    arrays = [c for c in payload if isinstance(table.schema[c].dataType, ArrayType)]
+    width = F.lit(1).cast("long")
+    for name in arrays:
+        width = width + F.coalesce(F.size(name), F.lit(0))
+    row = table.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)), F.coalesce(F.max(width), F.lit(1))
+    ).first()
+    return row[0], row[1], row[2]
+
+
 def _renamed(table: DataFrame, keys: Sequence[str], payload: Sequence[str], tag: str) -> DataFrame:
     return table.select(
         *[F.col(k).alias(f"{tag}k_{k}") for k in keys],

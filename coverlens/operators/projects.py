@@ -93,28 +93,25 @@ def flag_projects(
     """Add ``first`` (earliest date at the link) and ``flag`` (this row stands for its project).
 
     ``row_id`` must be unique; it settles ties that the rule leaves open. Rows meet one summary
-    row per link, which lists the project heads of that link. Missing codes are links in that
-    table too: their rows get the earliest date of their code, as in SQL, and always stand alone.
+    row per link, which lists the project heads of that link; links without a dated row are in that
+    table too, so that no key of any size is left to the shuffle. Missing codes are links there:
+    their rows get the earliest date of their code, as in SQL, and always stand alone.
     """
-    dated = df.filter(F.col(rule.date).isNotNull())
-    linked, loose = dated.filter(rule.linked()), dated.filter(~rule.linked())
-    codes = loose.groupBy(rule.link).agg(
-        F.min(rule.date).alias(first), F.count(F.lit(1)).alias("_rows")
-    )
     if rule.window_months > 0:
-        months = _months(linked, rule, F.min(_head(rule, [row_id])).alias("_head"))
-        per_link = _windows(months, rule)
+        # undated rows are a month of their own without a head, so they count but open nothing
+        heads_of_month = F.min(F.when(F.col(rule.date).isNotNull(), _head(rule, [row_id])))
+        entries = _windows(_months(df, rule, heads_of_month.alias("_head")), rule)
         # at most one head per window of the calendar
         heads = [F.collect_list(f"_head.{row_id}").alias("_heads")]
         is_head = F.array_contains("_heads", F.col(row_id))
     else:
-        per_link, heads, is_head = _months(linked, rule), [], F.lit(True)
-    links = per_link.groupBy(F.col("_link").alias(rule.link)).agg(
+        entries, heads, is_head = _months(df, rule), [], F.lit(True)
+    links = entries.groupBy(F.col("_link").alias(rule.link)).agg(
         F.min("_first").alias(first), F.sum("_rows").alias("_rows"), *heads
     )
     joined = lookup_join(
         df,
-        links.unionByName(codes, allowMissingColumns=True),
+        links,
         [rule.link],
         weight="_rows",
         broadcast_rows=broadcast_rows,

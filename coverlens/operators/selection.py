@@ -18,13 +18,16 @@ from coverlens.session import BROADCAST_ROWS, materialize
 
 _STEPS_PER_OCTAVE = 1024
 _REFINE_STEPS = 4096
-_MAX_REFINEMENTS = 5
+# Above every bucket of a number: 1024 octaves on either side of 1.
+_NAN_BUCKET = 1 << 30
 
 
 def _coarse_bucket(value: Column) -> Column:
-    """Monotone bucket number on a signed log scale; a pure function of the value."""
-    magnitude = F.log2(F.lit(1.0) + F.abs(value.cast("double")))
-    return F.floor(F.signum(value.cast("double")) * magnitude * F.lit(float(_STEPS_PER_OCTAVE)))
+    """Monotone bucket number on a signed log scale, NaN last; a pure function of the value."""
+    number = value.cast("double")
+    magnitude = F.log2(F.lit(1.0) + F.least(F.abs(number), F.lit(1.7e308)))
+    bucket = F.floor(F.signum(number) * magnitude * F.lit(float(_STEPS_PER_OCTAVE)))
+    return F.when(F.isnan(number), F.lit(_NAN_BUCKET).cast("long")).otherwise(bucket)
 
 
 def _counted(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -39,6 +42,7 @@ def order_statistics(
     value: str,
     positions: Mapping[str, Column],
     *,
+    weight: str | None = None,
     refine_rows: int = 2_000_000,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -46,14 +50,15 @@ def order_statistics(
 
     ``positions`` maps a name to a rank, written with ``F.col("_n")`` (non-NULL values in the
     group) and the key columns. Returns ``keys, _n, _pos, _rank, _less, _value`` with ``_less``
-    the number of smaller values; ranks outside the group give no row.
+    the number of smaller values; ranks outside the group give no row. ``weight`` optionally
+    names how many times a row counts. NaN is larger than any number.
     """
     keys = list(keys)
     rows = df.select(
         *keys,
         F.col(value).alias("_v"),
         _coarse_bucket(F.col(value)).alias("_bucket"),
-        F.lit(1).cast("long").alias("_w"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).filter(F.col("_v").isNotNull())
 
     # Per group this window sees one row per bucket: bounded by the exponent range, not the data.
@@ -76,10 +81,11 @@ def order_statistics(
     targets = materialize(_holding_rank(targets))
 
     carried = [*keys, "_pos", "_rank", "_n", "_bucket"]
-    for _ in range(_MAX_REFINEMENTS):
-        found, widest = _extent(targets)
-        if widest <= refine_rows:
-            break
+    found, widest = _extent(targets)
+    before_that = None
+    # Finer until small, or until a step parts nothing any more: the rest are few distinct values.
+    while widest > refine_rows and widest != before_that:
+        before_that = widest
         inside = _inside(rows, targets, keys, found, broadcast_rows)
         width = (F.col("_hi") - F.col("_lo")).cast("double")
         step = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * _REFINE_STEPS)
@@ -89,7 +95,6 @@ def order_statistics(
         upto = upto.rowsBetween(Window.unboundedPreceding, -1)
         before = F.col("_base") + F.coalesce(F.sum("_rows").over(upto), F.lit(0))
         targets = materialize(_holding_rank(finer.withColumn("_less", before)).drop("_base", "_step"))
-    else:
         found, widest = _extent(targets)
 
     answer = [*keys, "_n", "_pos", "_rank", "_less"]
@@ -153,7 +158,9 @@ def exact_median(
         F.max(F.when(F.col("_pos") == "upper", F.col("_value"))).alias("_upper"),
         F.max("_n").alias("_n"),
     )
-    middle = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.lit(0.5)
+    between = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.lit(0.5)
+    # equal neighbours may be infinite
+    middle = F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise(between)
     return wide.select(*keys, middle.alias(name), "_n")
 
 

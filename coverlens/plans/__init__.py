@@ -1,5 +1,6 @@
 """Ready-made plans: the reports, the cleaned export and its checks."""
 
+from coverlens.plans.build import Export, build_export
 from coverlens.plans.checks import CheckFailed, accounting, export_metrics, verify_export
 from coverlens.plans.export import export_systems, pv_rows, write_export
 from coverlens.plans.params import ExportParams, StudyParams
@@ -8,11 +9,13 @@ from coverlens.plans.summaries import band_summary, flag_summary, median_summary
 
 __all__ = [
     "CheckFailed",
+    "Export",
     "ExportParams",
     "REPORTS",
     "StudyParams",
     "accounting",
     "band_summary",
+    "build_export",
     "export_metrics",
     "export_systems",
     "flag_summary",

@@ -215,8 +215,10 @@ def residential_label_check(df: DataFrame, p: StudyParams) -> DataFrame:
 
 
 def zip_format_check(df: DataFrame, p: StudyParams) -> DataFrame:
-    report = df.groupBy(zip_format(F.col("zip_code")).alias("zip_format")).agg(
-        totals.rows().alias("records"),
+    # Counts alone over the raw rows: a minimum of texts there would sort them all.
+    codes = df.groupBy("zip_code", "state").agg(totals.rows().alias("n"))
+    report = codes.groupBy(zip_format(F.col("zip_code")).alias("zip_format")).agg(
+        F.sum("n").alias("records"),
         F.count_distinct("state").alias("states"),
         F.min("zip_code").alias("example"),
     )
@@ -259,7 +261,7 @@ def rows_vs_projects(df: DataFrame, p: StudyParams) -> DataFrame:
         F.count_if(known & alone).alias("known_projects"),
         F.sum("usd").alias("usd"),
     )
-    heads = first_of_project(rows, p.project, ["segment", OWNER])
+    heads = first_of_project(rows, p.project, [p.row_id, "segment", OWNER])
     projects = heads.groupBy("segment").agg(
         totals.rows().alias("projects"),
         F.count_if(tpo).alias("tpo_projects"),

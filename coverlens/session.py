@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,29 +37,33 @@ def local_session(name: str = "coverlens", cpus: str | int = "*", **conf: str) -
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may fall back to a scratch one."""
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; only a local session may fall back to a scratch one."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if not folder:
+    if folder:
+        return folder
+    if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder every executor can reach; "
                 "intermediate tables are written there"
             )
-        folder = tempfile.mkdtemp(prefix="coverlens-checkpoint-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="coverlens-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a summary table to the checkpoint folder and continue from the written copy.
+    """Write a summary table as Parquet below the shared folder and continue from the written copy.
 
     Used where a table is read more than once or its size decides the next step. The copy is on
-    shared storage, so losing an executor costs a re-read, not a re-computation.
+    shared storage, so losing an executor costs a re-read, not a re-computation. Everything below
+    the application's folder can go once the application has ended.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = f"{folder}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

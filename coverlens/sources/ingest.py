@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coverlens import schema
 from coverlens.sources.sinks import write_parquet
+from coverlens.sources.store import exists, is_complete, move
 
 
 class ConversionFailed(RuntimeError):
@@ -22,14 +22,18 @@ _CSV = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
 def pinned_schema(
-    spark: SparkSession, path: str, pins: Sequence[str] = schema.IDENTIFIER_COLUMNS
+    spark: SparkSession,
+    path: str,
+    pins: Sequence[str] = schema.IDENTIFIER_COLUMNS,
+    csv_options: Mapping[str, object] | None = None,
 ) -> T.StructType:
     """Types inferred from every row, except the identifiers in ``pins``, which stay text.
 
     Inference alone would read a postal code as a number and drop its leading zero. Timestamps
     are kept free of a time zone.
     """
-    inferred = spark.read.options(**_CSV, inferSchema=True, samplingRatio=1.0).csv(path).schema
+    options = {**_CSV, **(csv_options or {}), "inferSchema": True, "samplingRatio": 1.0}
+    inferred = spark.read.options(**options).csv(path).schema
     missing = [p for p in pins if p not in inferred.names]
     if missing:
         raise ConversionFailed(f"pinned columns not in the file: {missing}")
@@ -52,17 +56,26 @@ def convert_csv(
     *,
     types: T.StructType | None = None,
     leading_zero_column: str | None = "zip_code",
+    csv_options: Mapping[str, object] | None = None,
     overwrite: bool = False,
 ) -> dict:
-    """Convert, then prove it: same rows, same columns, identifiers still text.
+    """Convert, prove it, then publish: same rows, same columns, identifiers still text.
 
-    Sentinel codes are left as they are. Pass ``types`` to skip the inference pass over a large
-    release whose schema is known. Returns the numbers that were checked.
+    The copy is written beside ``target`` and moved there once it is verified, so ``target`` never
+    holds unproven data. Sentinel codes are left as they are. Pass ``types`` to skip the inference
+    pass over a large release whose schema is known, and ``csv_options`` for reader options such as
+    ``multiLine`` (line breaks within quotes; such a file is read by one task). Returns the
+    numbers that were checked.
     """
-    types = types or pinned_schema(spark, source, pins)
-    rows = spark.read.options(**_CSV).schema(types).csv(source)
-    write_parquet(rows, target, overwrite=overwrite)
-    return verify_conversion(rows, spark.read.parquet(target), pins, leading_zero_column)
+    if not overwrite and exists(spark, target):
+        raise FileExistsError(f"{target} is there already; overwrite=True replaces it")
+    types = types or pinned_schema(spark, source, pins, csv_options)
+    rows = spark.read.options(**{**_CSV, **(csv_options or {})}).schema(types).csv(source)
+    unproven = f"{target.rstrip('/')}-unproven"
+    write_parquet(rows, unproven, overwrite=True)
+    found = verify_conversion(rows, spark.read.parquet(unproven), pins, leading_zero_column)
+    move(spark, unproven, target)
+    return found
 
 
 def verify_conversion(
@@ -88,16 +101,18 @@ def verify_conversion(
 
 
 def ensure_parquet(
-    spark: SparkSession, source: str, target: str, pins: Sequence[str] = schema.IDENTIFIER_COLUMNS
+    spark: SparkSession,
+    source: str,
+    target: str,
+    pins: Sequence[str] = schema.IDENTIFIER_COLUMNS,
+    **options,
 ) -> bool:
-    """Convert only if the target is not there yet; True when it was built now."""
-    try:
-        spark.read.parquet(target)
+    """Convert only if a complete store is not there yet; True when it was built now.
+
+    A folder without the marker of a finished write is not one and is replaced. ``options`` are
+    those of ``convert_csv``.
+    """
+    if is_complete(spark, target):
         return False
-    except AnalysisException as error:
-        # nothing there, or a folder that an interrupted write left without a single file
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        unfinished = error.getCondition() == "UNABLE_TO_INFER_SCHEMA"
-    convert_csv(spark, source, target, pins, overwrite=unfinished)
+    convert_csv(spark, source, target, pins, **{**options, "overwrite": True})
     return True

@@ -9,6 +9,7 @@ from coverlens.plans import (
     REPORTS,
     CheckFailed,
     accounting,
+    build_export,
     export_systems,
     pv_rows,
     verify_export,
@@ -43,11 +44,11 @@ def test_write_export_is_ordered_and_verified(spark, release, tmp_path):
 @pytest.mark.parametrize(
     "damage, message",
     [
-        (lambda e: e.filter("tts_row % 50 <> 3"), "every PV row"),
-        (lambda e: e.withColumn("source_record_id", F.lit("x")), "unique"),
-        (lambda e: e.withColumn("capacity_mw_dc", F.col("capacity_mw_dc") * 1.01), "capacity sums"),
-        (lambda e: e.withColumn("technology_type", F.lit("storage-only")), "storage-only"),
-        (lambda e: e.withColumn("capacity_mw_ac", F.lit(None).cast("double")), "AC capacity"),
+        (lambda e: e.filter("tts_row % 50 <> 3"), "PV rows read"),
+        (lambda e: e.withColumn("source_record_id", F.lit("x")), "record IDs: 1 different"),
+        (lambda e: e.withColumn("capacity_mw_dc", F.col("capacity_mw_dc") * 1.01), "DC megawatts"),
+        (lambda e: e.withColumn("technology_type", F.lit("storage-only")), "storage without PV"),
+        (lambda e: e.withColumn("capacity_mw_ac", F.lit(None).cast("double")), "AC size missing"),
     ],
 )
 def test_damage_is_caught(release, damage, message):
@@ -78,3 +79,13 @@ def test_every_report_is_written(spark, release, tmp_path):
     assert names == list(REPORTS) and len(names) == 34
     for name in names:
         assert spark.read.option("header", True).csv(f"{tmp_path}/out/{name}").columns
+
+
+def test_export_in_one_call(spark, release, tmp_path):
+    made = build_export(release, standin.EXPORT, str(tmp_path / "whole"), first_year=1996)
+    assert set(made.summaries) == {"medians", "methods", "bands", "flags"}
+    assert made.metrics["n"] == made.table.count() == pv_rows(release).count()
+    for summary in made.summaries.values():
+        assert summary.count() > 0
+    with pytest.raises(Exception, match="EXISTS"):
+        build_export(release, standin.EXPORT, str(tmp_path / "whole"))

@@ -46,7 +46,7 @@ def test_conversion_is_lossless(spark, release, tmp_path):
     assert rows == [("02138", "007", 5.5, 1), ("94103", "12", -1.0, -1)]
     part = glob.glob(f"{target}/part-*.parquet")[0]
     assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
-    with pytest.raises(AnalysisException):
+    with pytest.raises(FileExistsError):
         convert_csv(spark, release, target, PINS)
     convert_csv(spark, release, target, PINS, overwrite=True)
 
@@ -130,3 +130,25 @@ def test_view_and_schema_listing(spark, tmp_path):
     load(spark, path, view="opened")
     assert spark.sql("SELECT a, tts_row FROM opened").first() == (1, 1)
     assert [tuple(r) for r in describe(load(spark, path, position=None)).collect()] == [(1, "a", "int", 1), (2, "b", "string", 0)]
+
+
+def test_unproven_stores_are_not_accepted(spark, release, tmp_path):
+    target = str(tmp_path / "release.parquet")
+    write_parquet(spark.range(10).selectExpr("id AS zip_code"), target)
+    (tmp_path / "release.parquet" / "_SUCCESS").unlink()
+    assert ensure_parquet(spark, release, target, PINS) is True  # a partial store is replaced
+    assert spark.read.parquet(target).count() == 2
+    bad, types = str(tmp_path / "bad.parquet"), pinned_schema(spark, release, [])
+    for _ in range(2):  # a store that fails its checks does not appear, however often it is tried
+        with pytest.raises(ConversionFailed):
+            ensure_parquet(spark, release, bad, PINS, types=types)
+
+
+def test_line_breaks_in_quotes_and_files_without_postal_codes(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('id,note\n007,"two\nlines"\n12,one\n')
+    target = str(tmp_path / "lines.parquet")
+    options = {"csv_options": {"multiLine": True}, "leading_zero_column": "id"}
+    assert ensure_parquet(spark, str(path), target, ["id"], **options) is True
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [("007", "two\nlines"), ("12", "one")]
+    assert ensure_parquet(spark, str(path), target, ["id"], **options) is False

@@ -149,3 +149,39 @@ def test_rows_of_a_heavy_key_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2 * 2000 / 4
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2, 1000])
+def test_rows_that_are_not_eligible_never_match(spark, broadcast_rows):
+    rows = [(1, "a", True), (2, "a", False), (3, "b", True), (4, "c", None), (5, "hot", False), (6, "hot", True)]
+    frame = spark.createDataFrame(rows, "id long, k string, able boolean")
+    table = spark.createDataFrame([("a", 2, 10), ("b", 1, 20), ("c", 1, 30), ("hot", 900, 40)], "k string, n long, v long")
+    got = lookup_join(frame, table, ["k"], weight="n", hit="found", eligible=F.col("able"), broadcast_rows=broadcast_rows)
+    values = {"a": 10, "b": 20, "c": 30, "hot": 40}
+    assert {(r.id, r.v, r.found) for r in got.collect()} == {(i, values[k] if able else None, bool(able)) for i, k, able in rows}
+
+
+def test_wide_entries_count_as_many(spark):
+    """Entries whose arrays exceed the limit are not broadcast, though they are few."""
+    frame = spark.createDataFrame([(i, f"k{i % 5}") for i in range(100)], "id long, k string")
+    table = frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.collect_list("id").alias("ids"))
+    got = lookup_join(frame, table, ["k"], weight="n", broadcast_rows=10)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.id in r.ids for r in got.collect()) and got.count() == 100
+
+
+def test_undated_rows_of_a_large_link_are_not_shuffled(spark):
+    dated = [(0, "hot", dt.datetime(2020, 1, 1))] + [(5000 + i, f"k{i}", dt.datetime(2020, 1, 1)) for i in range(40)]
+    rows = [(i, link, date, 1.0, "p", "s", 1.0) for i, link, date in dated]
+    rows += [(i, "hot", None, 1.0, "p", "s", 1.0) for i in range(1, 3001)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flagged = flag_projects(frame, RULE, "id", broadcast_rows=10)
+        parts = flagged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert flagged.count() == len(rows) and parts < 1000
+        assert flagged.filter("NOT is_first_at_address").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

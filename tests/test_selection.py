@@ -70,3 +70,20 @@ def test_ntile(spark, size, buckets):
     numbers = [b + 1 for b, n in enumerate(sizes) for _ in range(n)]
     ordered = [i for i, v in sorted(rows, key=lambda r: (r[1], r[0]))]
     assert got == dict(zip(ordered, numbers))
+
+
+def test_nan_is_larger_than_any_number(spark):
+    for values in ([1.0, 2.0, float("nan")], [float("nan"), float("nan"), 5.0], [float("inf"), 1.0, float("nan")]):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        got = exact_median(frame, [], "v").first()["median"]
+        assert repr(got) == repr(frame.agg(F.median("v")).first()[0])
+
+
+def test_weights_count_rows(spark):
+    frame = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 3), (None, 4)], "v double, times long")
+    assert exact_median(frame, [], "v", weight="times").first()["median"] == 1.0
+
+
+def test_few_heavy_values_end_the_refinement(spark):
+    frame = spark.range(4000).selectExpr("1 + (id % 2) * 1e-9 AS v")
+    assert exact_median(frame, [], "v", refine_rows=10).first()["median"] == pytest.approx(1 + 5e-10, abs=1e-12)
