@@ -30,14 +30,16 @@ SEED = 42
 #: Fingerprints that a shard should hold, and at most so many are fetched to fit the tree.
 SHARD_ROWS = 4096
 SAMPLE_ROWS = 32_768
-#: For near copies by similarity: how far fingerprints of distinct words may be apart, how many bits
-#: more than expected at that similarity the signatures may, and the size of shards: with a longer reach
-#: more points are shown in several shards, so these are larger.
-COARSE_REACH = 6
+#: For near copies by similarity: how many bits more than expected at that similarity the signatures may
+#: be apart. A longer reach than REACH would show most points in most shards; several fingerprints, of
+#: which one has to be close, find as many copies with short reaches.
 WIDE_SLACK = 5
-COARSE_SHARD_ROWS = 32_768
+_WORDS = ("f0", "f1", "f2", "f3", "f4", "f5")
 _WIDE = ("w0", "w1", "w2", "w3")
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_MIXERS = np.array(
+    [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53],
+    np.uint64,
+)
 _BLOCK = 512
 _STEP = 255 * 256
 _PAIRS = 1_000_000
@@ -209,6 +211,11 @@ def forest(points: np.ndarray, reach: int, wide: np.ndarray | None = None, wide_
             continue
         while len(rows):
             own = root[rows] == root[rows[0]]
+            if np.count_nonzero(own) < _BLOCK:
+                first = rows[: max(1, _PAIRS // len(rows))]
+                join(first, rows)
+                rows = rows[len(first) :]
+                continue
             same, rows = rows[own], rows[~own]
             step = max(1, _PAIRS // max(1, len(rows)))
             for start in range(0, len(same), step):
@@ -297,30 +304,36 @@ def near_copies(
     )
 
 
+def _mixed(hashes: np.ndarray, number: int) -> list[int]:
+    """Fingerprints by `number` independent hashes, derived from one."""
+    hashes = hashes.astype(np.uint64)
+    out = []
+    for mixer in _MIXERS[:number]:
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * mixer
+        out.append(_packed(((mixed ^ (mixed >> np.uint64(29))) * mixer).astype(">u8")))
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, fp, w0 .. w3) of every row: fp of its distinct words, w of five-word shingles.
+    """(doc_id, row_hash, f0 .. f5, w0 .. w3): fingerprints of the distinct words, and a signature.
 
-    Words repeat in near copies and differ elsewhere, so fp is close for near copies and far for all
-    other texts; the 256 bits of w estimate how many five-word shingles two texts share.
+    Near copies share most of their words and other texts few, so one of the f is close for near
+    copies and all are far for others; w estimates how many five-word shingles two texts share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row_hash", "fp", *_WIDE]
         for batch in batches:
             rows = []
             for text in values(batch.column("body")):
                 words = words_of(text)
-                runs = shingle_hashes(words, 5, SEED).astype(np.uint64)
-                mixed = (runs ^ (runs >> np.uint64(31))) * _MIXERS[:, None]
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIXERS[:, None]
-                first = shingle_hashes(list(dict.fromkeys(words)), 1, SEED)
-                rows.append([_packed(first), *(_packed(m.astype(">u8")) for m in mixed)])
-            bits = np.array(rows, np.uint64).reshape(-1, 5).view(np.int64)
+                alone = shingle_hashes(list(dict.fromkeys(words)), 1, SEED)
+                rows.append(_mixed(alone, len(_WORDS)) + _mixed(shingle_hashes(words, 5, SEED), len(_WIDE)))
+            bits = np.array(rows, np.uint64).reshape(-1, len(_WORDS) + len(_WIDE)).view(np.int64)
             arrays = [batch.column("doc_id"), batch.column("row_hash"), *(pa.array(c) for c in bits.T)]
-            yield pa.record_batch(arrays, names)
+            yield pa.record_batch(arrays, ["doc_id", "row_hash", *_WORDS, *_WIDE])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    schema = "doc_id long, row_hash long, fp long, w0 long, w1 long, w2 long, w3 long"
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "row_hash", *_WORDS, *_WIDE))
     return map_arrow(rows.withColumn("row_hash", F.xxhash64("body")), run, schema)
 
 
@@ -328,32 +341,37 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row_hash, group): rows that share a group are near copies, directly or not.
 
     Near copies: texts whose five-word shingles have a similarity (Jaccard) of about `similarity` or
-    more, as the 256-bit signatures estimate it (a standard error of some 0.04), and whose distinct
-    words' fingerprints are at most COARSE_REACH bits apart, which about nine in ten pairs just at
-    0.8 are and nearly all at 0.9. Texts of fewer than five words are one shingle; texts without
-    words are copies of each other. row_hash tells rows that share an id apart.
+    more, as the 256-bit signatures estimate it (a standard error of some 0.04), and one of whose six
+    fingerprints of the distinct words is at most REACH bits away: nearly all pairs at 0.9 and some six
+    in ten just at 0.8, but a group is found whole through any of its pairs. Texts of fewer than five
+    words are one shingle; texts without words are copies of each other. row_hash tells rows that
+    share an id apart.
     """
     ship(docs.sparkSession)
     cosine = 2 * similarity / (1 + similarity)
     wide_reach = int(256 * math.acos(cosine) / math.pi + WIDE_SLACK)
     marked = written(signatures(docs), "signatures")
-    distinct = marked.groupBy("fp", *_WIDE).agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
     # A point's number is a hash of its signature: it is the same whenever it is computed anew.
-    points = written(distinct.withColumn("node", F.xxhash64("fp", *_WIDE)), "points")
+    marked = marked.withColumn("node", F.xxhash64(*_WORDS, *_WIDE))
+    points = written(marked.select("node", *_WORDS, *_WIDE).distinct(), "points")
 
     def join(shard: pa.Table) -> pa.Table:
         node = shard.column("node").to_numpy()
         order = np.argsort(node, kind="stable")
         fp, *wide = (shard.column(c).to_numpy()[order].view(np.uint64) for c in ("fp", *_WIDE))
-        root = forest(fp, COARSE_REACH, np.stack(wide, 1), wide_reach)
+        root = forest(fp, REACH, np.stack(wide, 1), wide_reach)
         linked = np.nonzero(root != np.arange(len(root)))[0]
         return pa.table({"a": node[order][root[linked]], "b": node[order][linked]})
 
-    shards = _dealt(points.select("node", "fp", *_WIDE), COARSE_REACH, COARSE_SHARD_ROWS, SAMPLE_ROWS)
-    joined = components(shards.groupBy("shard").applyInArrow(join, "a long, b long"))
-    rooted = points.join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    rooted = rooted.select("fp", *_WIDE, "group")
-    return marked.join(rooted, ["fp", *_WIDE]).select("doc_id", "row_hash", "group")
+    shown = None
+    for number, name in enumerate(_WORDS):
+        part = points.select("node", F.col(name).alias("fp"), *_WIDE)
+        part = _dealt(part, REACH, SHARD_ROWS, SAMPLE_ROWS).withColumn("tree", F.lit(number))
+        shown = part if shown is None else shown.unionByName(part)
+    found = components(shown.groupBy("tree", "shard").applyInArrow(join, "a long, b long"))
+    # Texts without a near copy have no row here; a hot node is split by adaptive execution.
+    rooted = marked.select("doc_id", "row_hash", "node").join(found, "node", "left")
+    return rooted.select("doc_id", "row_hash", F.coalesce("root", "node").alias("group"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
