@@ -23,6 +23,12 @@ THRESHOLD = 0.8
 FILE_SHARE = 0.5
 _WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 
+#: Words that most English texts have.
+COMMON = frozenset(
+    "a an and any are as at be by can for found free from general in is it not of on or public that the this to "
+    "under use version with without work you".split()
+)
+
 #: The usual notices of common licences, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -81,12 +87,13 @@ def _weights(templates: tuple[tuple[str, str], ...]) -> tuple[list[dict[str, flo
 def key_terms(vectors: list[dict[str, float]], threshold: float) -> set[str]:
     """Terms of which a unit has at least one if its cosine with any template reaches the threshold.
 
-    A cosine over a template's other terms is at most the length of the vector's part on them.
+    A cosine over a template's other terms is at most the length of the vector's part on them, so
+    any terms that carry enough of it will do; common words come last, as they pass most lines.
     """
     keys = set()
     for vector in vectors:
         rest = 1.0
-        for term, weight in sorted(vector.items(), key=lambda item: (-item[1], item[0])):
+        for term, weight in sorted(vector.items(), key=lambda item: (item[0] in COMMON, -item[1], item[0])):
             if rest < threshold**2 - 1e-9:
                 break
             keys.add(term)
