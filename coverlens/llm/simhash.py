@@ -1,4 +1,4 @@
-"""Near copies by SimHash, found through vantage-point trees over the Hamming distance.
+"""Near copies: by SimHash, through vantage-point trees over the Hamming distance, and by similarity.
 
 A tree fitted on a bounded sample of the distinct fingerprints deals all of them out to shards: at
 each node the fingerprints within `radius` of a vantage point go inward, the others outward. Two
@@ -6,12 +6,16 @@ fingerprints at most `reach` bits apart have distances to the vantage point that
 `reach` (triangle inequality), so it is enough to show the outer side a copy of the inner ones
 farther than `radius - reach`: such a pair meets in at least one shard. A shard is searched the same
 way, with a tree of its own, down to blocks small enough to compare.
+
+Near copies by similarity (`similar_groups`) are exact: two sets of shingles with a Jaccard similarity of
+t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order that is the same for
+all. Rare shingles come first, so that few sets meet; all pairs that meet are compared in full.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from coverlens.llm.common import map_arrow, ship, text_bytes, values, written
+from coverlens.llm.common import map_arrow, ship, slices, text_bytes, values, written
 from coverlens.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -30,19 +34,22 @@ SEED = 42
 #: Fingerprints that a shard should hold, and at most so many are fetched to fit the tree.
 SHARD_ROWS = 4096
 SAMPLE_ROWS = 32_768
-#: For near copies by similarity: how many bits more than expected at that similarity the signatures may
-#: be apart. A longer reach than REACH would show most points in most shards; several fingerprints, of
-#: which one has to be close, find as many copies with short reaches.
-WIDE_SLACK = 5
-_WORDS = ("f0", "f1", "f2", "f3", "f4", "f5")
-_WIDE = ("w0", "w1", "w2", "w3")
-_MIXERS = np.array(
-    [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53],
-    np.uint64,
-)
+#: For near copies by similarity: words of a shingle; of so many distinct texts one tells which shingles are
+#: common (all, of few texts), at most so many of them are told apart. They decide on the order alone.
+SIMILAR_WORDS = 5
+ORDER_SHARE = 16
+ORDER_ALL_BYTES = 32_000_000
+ORDER_SHINGLES = 500_000
+#: First shingles of texts that one group should hold.
+PREFIX_ROWS = 500_000
+#: Keys of texts to compare up to this number (24 bytes each) are broadcast, else joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
+#: A group of texts that meet is compared with one of them at a time for so many rounds, then pair by pair.
+STAR_ROUNDS = 3
 _BLOCK = 512
 _STEP = 255 * 256
 _PAIRS = 1_000_000
+_TEXT_BYTES = 16_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -184,11 +191,10 @@ def _join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def forest(points: np.ndarray, reach: int, wide: np.ndarray | None = None, wide_reach: int = 0) -> np.ndarray:
+def forest(points: np.ndarray, reach: int) -> np.ndarray:
     """The least position that each position is linked with, directly or not.
 
-    Links are pairs at most `reach` bits apart and, if `wide` has a longer signature for each point, at
-    most `wide_reach` bits apart there. In a dense block points of one component are not compared
+    Links are pairs at most `reach` bits apart. In a dense block points of one component are not compared
     with each other any more, so that a large group of copies costs about its size, not its square.
     """
     root = np.arange(len(points))
@@ -196,9 +202,6 @@ def forest(points: np.ndarray, reach: int, wide: np.ndarray | None = None, wide_
     def join(rows: np.ndarray, others: np.ndarray) -> None:
         nonlocal root
         left, right = _near(points, rows, others, reach)
-        if wide is not None and len(left):
-            fits = np.bitwise_count(wide[left] ^ wide[right]).sum(1, dtype=np.int64) <= wide_reach
-            left, right = left[fits], right[fits]
         if len(left):
             root = _join(root, left, right)
 
@@ -304,73 +307,187 @@ def near_copies(
     )
 
 
-def _mixed(hashes: np.ndarray, number: int) -> list[int]:
-    """Fingerprints by `number` independent hashes, derived from one."""
-    hashes = hashes.astype(np.uint64)
-    out = []
-    for mixer in _MIXERS[:number]:
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * mixer
-        out.append(_packed(((mixed ^ (mixed >> np.uint64(29))) * mixer).astype(">u8")))
-    return out
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, sorted."""
+    return np.unique(shingle_hashes(words_of(text), SIMILAR_WORDS, SEED).astype(np.uint64))
+
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> the hash of each one's shingles; texts with the same ones are one node."""
+    for batch in batches:
+        nodes = np.array([_node(shingle_set(text)) for text in values(batch.column("body"))], np.uint64)
+        arrays = [batch.column("doc_id"), batch.column("row_hash"), pa.array(nodes.view(np.int64))]
+        yield pa.record_batch(arrays, ["doc_id", "row_hash", "node"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in values(batch.column("body")):
+            yield pa.record_batch([pa.array(shingle_set(text).view(np.int64))], ["shingle"])
+
 
+def _common(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts have, sorted, and in how many of the texts looked at they are."""
+    share = 1 if total <= ORDER_ALL_BYTES else ORDER_SHARE
+    some = texts.where(F.pmod("row_hash", F.lit(share)) == 0)
+    counts = map_arrow(some.select("body"), _shingles, "shingle long").groupBy("shingle").count()
+    counts = counts.where("count > 2").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    shingles, counts = (counts.column(c).to_numpy() for c in ("shingle", "count"))
+    shingles = shingles.view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, f0 .. f5, w0 .. w3): fingerprints of the distinct words, and a signature.
 
-    Near copies share most of their words and other texts few, so one of the f is close for near
-    copies and all are far for others; w estimates how many five-word shingles two texts share.
+def prefixes(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of its set): the first shingles of each set, rare ones and small hashes first.
+
+    Of sets whose similarity is reached, each has one of the other's first shingles among its own.
     """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    if len(common) and len(flat):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        seen = np.where(common[at] == flat, counts[at], 0)
+        flat = flat[np.lexsort((flat, seen, owner))]
+    top, bottom = similarity.numerator, similarity.denominator
+    first = sizes - -(-sizes * top // bottom) + 1
+    place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner]
+    kept = place < first[owner]
+    return flat[kept], owner[kept]
+
+
+def _dealt_prefixes(common: np.ndarray, counts: np.ndarray, similarity: Fraction, parts: int):
+    """Texts -> their first shingles and nodes, packed, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in values(batch.column("body")):
-                words = words_of(text)
-                alone = shingle_hashes(list(dict.fromkeys(words)), 1, SEED)
-                rows.append(_mixed(alone, len(_WORDS)) + _mixed(shingle_hashes(words, 5, SEED), len(_WIDE)))
-            bits = np.array(rows, np.uint64).reshape(-1, len(_WORDS) + len(_WIDE)).view(np.int64)
-            arrays = [batch.column("doc_id"), batch.column("row_hash"), *(pa.array(c) for c in bits.T)]
-            yield pa.record_batch(arrays, ["doc_id", "row_hash", *_WORDS, *_WIDE])
+            for some in slices(batch, "body", _TEXT_BYTES):
+                sets = {_node(s): s for s in map(shingle_set, values(some.column("body")))}
+                shingles, owner = prefixes(list(sets.values()), common, counts, similarity)
+                nodes = np.array(list(sets), np.uint64)[owner]
+                part = (shingles % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                shingles, nodes, part = shingles[order], nodes[order], part[order]
+                starts = np.nonzero(np.diff(part, prepend=-1))[0]
+                cuts = list(zip(starts, [*starts[1:], len(part)], strict=True)) if len(part) else []
+                packed = [[x[i:j].tobytes() for i, j in cuts] for x in (shingles, nodes)]
+                arrays = [pa.array(part[starts]), *(pa.array(p, pa.binary()) for p in packed)]
+                yield pa.record_batch(arrays, ["part", "shingles", "nodes"])
+
+    return run
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _meetings(part: pa.Table) -> pa.Table:
+    """The sets of nodes that share a first shingle, each once: (meeting, node)."""
+    shingles, nodes = (np.frombuffer(b"".join(values(part.column(c))), np.uint64) for c in ("shingles", "nodes"))
+    order = np.lexsort((nodes, shingles))
+    shingles, nodes = shingles[order], nodes[order]
+    new = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (nodes[1:] != nodes[:-1])])
+    shingles, nodes = shingles[new], nodes[new]
+    starts = np.nonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))[0]
+    sizes = np.diff(starts, append=len(shingles))
+    meeting = _mix(np.add.reduceat(_mix(nodes), starts) + sizes.astype(np.uint64))
+    several = np.nonzero(sizes > 1)[0]
+    several = several[np.unique(meeting[several], return_index=True)[1]]
+    kept = np.isin(np.repeat(np.arange(len(starts)), sizes), several)
+    arrays = [np.repeat(meeting, sizes)[kept], nodes[kept]]
+    return pa.table([pa.array(x.view(np.int64)) for x in arrays], ["meeting", "node"])
+
+
+def _alike(similarity: Fraction):
+    """Pairs of texts -> those whose sets of shingles have the similarity."""
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    schema = ", ".join(f"{c} long" for c in ("doc_id", "row_hash", *_WORDS, *_WIDE))
-    return map_arrow(rows.withColumn("row_hash", F.xxhash64("body")), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            kept = []
+            ends = [values(batch.column(c)) for c in ("a", "b")]
+            texts = [batch.column(c) for c in ("body_a", "body_b")]
+            for row, pair in enumerate(zip(*ends, strict=True)):
+                for node, column in zip(pair, texts, strict=True):
+                    if node not in sets:
+                        sets[node] = shingle_set(column[row].as_py())
+                one, two = (sets[node] for node in pair)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                kept.append(both * similarity.denominator >= (len(one) + len(two) - both) * similarity.numerator)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def _similar_links(meetings: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+    """(node, root) of the components of all pairs that meet and have the similarity.
+
+    Pairs that are in one component already are not compared. So in each of a few rounds the members of
+    a meeting are compared with one of them only; that leaves few pairs, even of a large group of copies.
+    """
+    bodies = [texts.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")) for c in ("a", "b")]
+    found = joined = None
+    for turn in range(STAR_ROUNDS + 1):
+        rooted = meetings.withColumn("root", F.col("node"))
+        if joined is not None:
+            rooted = meetings.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = rooted.groupBy("meeting").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            rooted = rooted.join(apart.where("low < high").select("meeting"), "meeting", "left_semi")
+            rooted = written(rooted.select("meeting", "node", "root"), "meetings")
+            if not rooted.limit(1).count():
+                break
+        if turn < STAR_ROUNDS:
+            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("head")
+            others = rooted.groupBy("meeting").agg(head)
+            others = others.select("meeting", F.col("head.node").alias("other"), F.col("head.root").alias("its"))
+            # One row per meeting meets its members: adaptive execution splits a large one.
+            pairs = rooted.join(others, "meeting").where("root <> its")
+        else:
+            others = rooted.select("meeting", F.col("node").alias("other"), F.col("root").alias("its"))
+            pairs = rooted.join(others, "meeting").where("root < its")
+        ends = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+        pairs = pairs.select(*ends).distinct().join(bodies[0], "a").join(bodies[1], "b")
+        alike = written(map_arrow(pairs, _alike(similarity), "a long, b long"), "alike")
+        found = alike if found is None else found.union(alike)
+        joined = components(found)
+    return joined
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row_hash, group): rows that share a group are near copies, directly or not.
 
-    Near copies: texts whose five-word shingles have a similarity (Jaccard) of about `similarity` or
-    more, as the 256-bit signatures estimate it (a standard error of some 0.04), and one of whose six
-    fingerprints of the distinct words is at most REACH bits away: nearly all pairs at 0.9 and some six
-    in ten just at 0.8, but a group is found whole through any of its pairs. Texts of fewer than five
-    words are one shingle; texts without words are copies of each other. row_hash tells rows that
-    share an id apart.
+    Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of `similarity` or
+    more; all such pairs count, and no others. Texts of fewer than five words are one shingle; texts
+    without words are copies of each other. row_hash tells rows that share an id apart.
     """
-    ship(docs.sparkSession)
-    cosine = 2 * similarity / (1 + similarity)
-    wide_reach = int(256 * math.acos(cosine) / math.pi + WIDE_SLACK)
-    marked = written(signatures(docs), "signatures")
-    # A point's number is a hash of its signature: it is the same whenever it is computed anew.
-    marked = marked.withColumn("node", F.xxhash64(*_WORDS, *_WIDE))
-    points = written(marked.select("node", *_WORDS, *_WIDE).distinct(), "points")
-
-    def join(shard: pa.Table) -> pa.Table:
-        node = shard.column("node").to_numpy()
-        order = np.argsort(node, kind="stable")
-        fp, *wide = (shard.column(c).to_numpy()[order].view(np.uint64) for c in ("fp", *_WIDE))
-        root = forest(fp, REACH, np.stack(wide, 1), wide_reach)
-        linked = np.nonzero(root != np.arange(len(root)))[0]
-        return pa.table({"a": node[order][root[linked]], "b": node[order][linked]})
-
-    shown = None
-    for number, name in enumerate(_WORDS):
-        part = points.select("node", F.col(name).alias("fp"), *_WIDE)
-        part = _dealt(part, REACH, SHARD_ROWS, SAMPLE_ROWS).withColumn("tree", F.lit(number))
-        shown = part if shown is None else shown.unionByName(part)
-    found = components(shown.groupBy("tree", "shard").applyInArrow(join, "a long, b long"))
+    least = Fraction(similarity).limit_denominator(1000)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    texts = texts.withColumn("row_hash", F.xxhash64("body"))
+    marked = written(map_arrow(texts, _marked, "doc_id long, row_hash long, node long"), "marked")
+    total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
+    # A word has some six bytes; of so many shingles that share comes first.
+    parts = max(24, int(total / 6 * (1 - least) / PREFIX_ROWS))
+    run = _dealt_prefixes(*_common(texts, total), least, parts)
+    dealt = map_arrow(texts.select("body"), run, "part long, shingles binary, nodes binary")
+    meetings = dealt.groupBy("part").applyInArrow(_meetings, "meeting long, node long").distinct()
+    meetings = written(meetings, "meetings")
+
+    # The texts of nodes that meet another, one of each.
+    nodes = meetings.select("node").distinct()
+    heads = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
+    heads = written(heads.select("node", "head.*"), "heads")
+    heads = (F.broadcast(heads) if heads.count() <= BROADCAST_TEXTS else heads).alias("h")
+    same = (F.col("t.row_hash") == F.col("h.row_hash")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
+    bodies = texts.alias("t").join(heads, same).select("node", "body").dropDuplicates(["node"])
+    found = _similar_links(meetings, written(bodies, "texts"), least)
     # Texts without a near copy have no row here; a hot node is split by adaptive execution.
-    rooted = marked.select("doc_id", "row_hash", "node").join(found, "node", "left")
+    rooted = marked.join(found, "node", "left")
     return rooted.select("doc_id", "row_hash", F.coalesce("root", "node").alias("group"))
 
 
