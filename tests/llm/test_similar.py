@@ -91,3 +91,20 @@ def test_sets_of_the_similarity_share_a_first_shingle(common):
         first, owner = simhash.prefixes(sets, shared, rng.integers(3, 9, len(shared)), Fraction(4, 5))
         first = [set(first[owner == i].tolist()) for i in range(3)]
         assert first[0] & first[1] and first[0] & first[2]
+
+
+def test_groups_hold_no_pairs_below_the_similarity(grouped):
+    texts, group = grouped
+    expected = plain_groups(texts)
+    first = {}
+    assert [first.setdefault(g, i) for i, g in enumerate(group)] == expected
+    assert len(set(expected)) > 200
+
+
+def test_only_copies_at_the_similarity_go(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    texts = [text for _ in range(40) for text in family(rng, "scattered", rng.randint(40, 200), vocabulary)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == set(plain_groups(texts)) and len(kept) < len(texts)
