@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from coverlens.llm.common import map_arrow, slices, text_bytes, values, written
 
 #: 1: the word counts, 0: it is ignored. Together the first four hit every stretch of 13 words of which
-#: two are replaced and of 15 of which three are. The last serves items of few words.
-MASKS = ("11111", "111101", "11011001", "1000011101", "111")
+#: two are replaced and of 15 of which three are. The last two serve items of few words beside them.
+MASKS = ("11111", "111101", "11011001", "1000011101", "111", "1101")
+LONG_MASKS = 4
+#: Items of fewer words get the last two masks as well.
+SHORT_WORDS = 11
 #: Overlaps have so many words (or all of a shorter item) of which so many in a hundred agree.
 MIN_WORDS = 13
 MIN_SHARE = 80
@@ -119,9 +122,9 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _masks(n_words: int) -> list[int]:
-    """The masks that serve an item: the last one only where the others leave fewer than two places."""
-    long = [m for m in range(len(MASKS) - 1) if len(MASKS[m]) <= n_words - 1]
-    return long or [len(MASKS) - 1]
+    """The masks that serve an item: long ones of at least two places, and for few words the short ones."""
+    long = [m for m in range(LONG_MASKS) if len(MASKS[m]) <= n_words - 1]
+    return long + [m for m in range(LONG_MASKS, len(MASKS)) if n_words < SHORT_WORDS]
 
 
 def _hits_of(bits: np.ndarray, shift: int, exact: np.ndarray | None, used: list[int]):
@@ -231,9 +234,9 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     exact = None
     if 0 < n_seeds <= EXACT_SEEDS:
         exact = np.unique(all_seeds.select("seed").toArrow().column("seed").to_numpy().view(np.uint64))
-    # The last mask is laid only where an item is too short for the others.
-    short = tests.where(F.length("item_words") <= 8 * len(MASKS[0])).limit(1).count()
-    used = list(range(len(MASKS) if short else len(MASKS) - 1))
+    # The short masks are laid only if an item has them.
+    short = tests.where(F.length("item_words") < 8 * SHORT_WORDS).limit(1).count()
+    used = list(range(len(MASKS) if short else LONG_MASKS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     schema = "doc_id long, row_hash long, start long, words binary, seeds array<long>, places array<long>"
     texts = texts.withColumn("row_hash", F.xxhash64("body"))
