@@ -45,11 +45,14 @@ PREFIX_ROWS = 500_000
 #: Keys of texts to compare up to this number (24 bytes each) are broadcast, else joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 #: A group of texts that meet is compared with one of them at a time for so many rounds, then pair by pair.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: A set's sketch tells which of so many classes of hashes hold an odd number of its shingles.
+SKETCH_BITS = 2048
 _BLOCK = 512
 _STEP = 255 * 256
 _PAIRS = 1_000_000
 _TEXT_BYTES = 16_000_000
+_MARKED = "doc_id long, row_hash long, node long, size long, sketch binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -316,12 +319,20 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Two sets' sketches differ in no more bits than shingles are in one set only."""
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> the hash of each one's shingles; texts with the same ones are one node."""
+    """Texts -> the hash of each one's shingles, their number and sketch; those with the same ones are one node."""
     for batch in batches:
-        nodes = np.array([_node(shingle_set(text)) for text in values(batch.column("body"))], np.uint64)
-        arrays = [batch.column("doc_id"), batch.column("row_hash"), pa.array(nodes.view(np.int64))]
-        yield pa.record_batch(arrays, ["doc_id", "row_hash", "node"])
+        rows = [(_node(s), len(s), sketch(s)) for s in map(shingle_set, values(batch.column("body")))]
+        nodes, sizes, sketches = zip(*rows, strict=True) if rows else ((), (), ())
+        arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        names = ["doc_id", "row_hash", "node", "size", "sketch"]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), *arrays], names)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,6 +415,23 @@ def _meetings(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(x.view(np.int64)) for x in arrays], ["meeting", "node"])
 
 
+def _may_be_alike(similarity: Fraction):
+    """Pairs of sketches -> those that may have the similarity: no pair that has it is left out."""
+    top, bottom = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (
+                np.frombuffer(b"".join(values(batch.column(c))), np.uint64).reshape(-1, SKETCH_BITS // 64)
+                for c in ("sketch_a", "sketch_b")
+            )
+            far = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((both - far) * bottom >= (both + far) * top))
+
+    return run
+
+
 def _alike(similarity: Fraction):
     """Pairs of texts -> those whose sets of shingles have the similarity."""
 
@@ -425,13 +453,31 @@ def _alike(similarity: Fraction):
     return run
 
 
-def _similar_links(meetings: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+def _bodies(nodes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, body): one text of each node."""
+    own = marked.select("doc_id", "row_hash", "node").join(nodes, "node", "left_semi")
+    heads = own.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
+    heads = written(heads.select("node", "head.*"), "heads")
+    heads = (F.broadcast(heads) if heads.count() <= BROADCAST_TEXTS else heads).alias("h")
+    same = (F.col("t.row_hash") == F.col("h.row_hash")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
+    return texts.alias("t").join(heads, same).select("node", "body").dropDuplicates(["node"])
+
+
+def _ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of `table` for both nodes, as name_a and name_b."""
+    for end in ("a", "b"):
+        own = [F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in table.columns]
+        pairs = pairs.join(table.select(*own), end)
+    return pairs
+
+
+def _similar_links(meetings: DataFrame, marked: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
     """(node, root) of the components of all pairs that meet and have the similarity.
 
     Pairs that are in one component already are not compared. So in each of a few rounds the members of
     a meeting are compared with one of them only; that leaves few pairs, even of a large group of copies.
     """
-    bodies = [texts.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")) for c in ("a", "b")]
+    sketches = marked.select("node", "size", "sketch").dropDuplicates(["node"])
     found = joined = None
     for turn in range(STAR_ROUNDS + 1):
         rooted = meetings.withColumn("root", F.col("node"))
@@ -452,7 +498,10 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, similarity: Fraction)
             others = rooted.select("meeting", F.col("node").alias("other"), F.col("root").alias("its"))
             pairs = rooted.join(others, "meeting").where("root < its")
         ends = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-        pairs = pairs.select(*ends).distinct().join(bodies[0], "a").join(bodies[1], "b")
+        pairs = _ends(pairs.select(*ends).distinct(), sketches)
+        near = written(map_arrow(pairs, _may_be_alike(similarity), "a long, b long"), "near")
+        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        pairs = _ends(near, _bodies(nodes, marked, texts))
         alike = written(map_arrow(pairs, _alike(similarity), "a long, b long"), "alike")
         found = alike if found is None else found.union(alike)
         joined = components(found)
@@ -469,7 +518,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     least = Fraction(similarity).limit_denominator(1000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     texts = texts.withColumn("row_hash", F.xxhash64("body"))
-    marked = written(map_arrow(texts, _marked, "doc_id long, row_hash long, node long"), "marked")
+    marked = written(map_arrow(texts, _marked, _MARKED), "marked")
     total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
     # A word has some six bytes; of so many shingles that share comes first.
     parts = max(24, int(total / 6 * (1 - least) / PREFIX_ROWS))
@@ -477,15 +526,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     dealt = map_arrow(texts.select("body"), run, "part long, shingles binary, nodes binary")
     meetings = dealt.groupBy("part").applyInArrow(_meetings, "meeting long, node long").distinct()
     meetings = written(meetings, "meetings")
-
-    # The texts of nodes that meet another, one of each.
-    nodes = meetings.select("node").distinct()
-    heads = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
-    heads = written(heads.select("node", "head.*"), "heads")
-    heads = (F.broadcast(heads) if heads.count() <= BROADCAST_TEXTS else heads).alias("h")
-    same = (F.col("t.row_hash") == F.col("h.row_hash")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
-    bodies = texts.alias("t").join(heads, same).select("node", "body").dropDuplicates(["node"])
-    found = _similar_links(meetings, written(bodies, "texts"), least)
+    found = _similar_links(meetings, marked, texts, least)
     # Texts without a near copy have no row here; a hot node is split by adaptive execution.
     rooted = marked.join(found, "node", "left")
     return rooted.select("doc_id", "row_hash", F.coalesce("root", "node").alias("group"))

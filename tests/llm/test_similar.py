@@ -108,3 +108,12 @@ def test_only_copies_at_the_similarity_go(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
     assert kept == set(plain_groups(texts)) and len(kept) < len(texts)
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 5, 300, 9000):
+        one = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        two = np.unique(np.concatenate([one[n // 9 :], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
+        bits = [np.frombuffer(simhash.sketch(x), np.uint8) for x in (one, two)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(one, two))
