@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontaminate, licenses, lm, packing, pii, simhash, topk, toxicity, warc, wordpieces
+from coverlens.llm import (
+    centroids,
+    decontaminate,
+    licenses,
+    lm,
+    packing,
+    pii,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+    wordpieces,
+)
 from coverlens.llm.common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +78,36 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """The rounds of `op12_centroids`, each as three steps of a DuckDB statement."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+        apart{n} AS (
+            SELECT kept.row, kept.vec_id, kept.v, middle.cluster,
+                   list_sum(list_transform(list_zip(kept.v, middle.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+            FROM kept CROSS JOIN middle{n} AS middle
+        ), near{n} AS (
+            SELECT * FROM apart{n} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        sums{n} AS (
+            SELECT cluster, pos, count(*) AS n, sum(x) AS total
+            FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM near{n}) GROUP BY cluster, pos
+        ), mean{n} AS (
+            SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v
+            FROM sums{n} GROUP BY cluster
+        ), middle{n + 1} AS MATERIALIZED (
+            SELECT cluster, coalesce(mean{n}.v, middle{n}.v) AS v FROM middle{n} LEFT JOIN mean{n} USING (cluster)
+        )""")
+    return ",".join(steps)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -77,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_language_model": op10_language_model,
+    "op12_centroids": op12_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +150,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
         FROM newest
     """,
+    "op12_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), middle0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), v) - 1 AS INTEGER) AS cluster, v
+            FROM kept QUALIFY cluster < 40
+        ), {_centroid_rounds(5)}
+        SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(middle5.v, ',')) AS centroid_sha256
+        FROM near5 JOIN middle5 USING (cluster)
+    """,
 }
