@@ -15,6 +15,7 @@ from coverlens.llm import (
     lm,
     packing,
     pii,
+    prefixes,
     simhash,
     topk,
     toxicity,
@@ -108,6 +109,10 @@ def _centroid_rounds(rounds: int) -> str:
     return ",".join(steps)
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_language_model": op10_language_model,
     "op12_centroids": op12_centroids,
+    "op13_prefixes": op13_prefixes,
 }
 
 ORACLES: dict[str, str] = {
@@ -167,4 +173,38 @@ ORACLES: dict[str, str] = {
                sha256(array_to_string(middle5.v, ',')) AS centroid_sha256
         FROM near5 JOIN middle5 USING (cluster)
     """,
+    # CRC-32 bit by bit: the remainder is a byte's, shifted out over the reversed polynomial
+    "op13_prefixes": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(text, '') AS text, sha256(concat(strlen(coalesce(role, '')), ':', role, text)) AS key,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), about AS (
+            SELECT conv_id, list({'key': key, 'bytes': strlen(text)} ORDER BY pos) AS own,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+                       string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda r, step: xor(r >> 1, 3988292384 * (r & 1))))) % 9 AS h
+            FROM turns GROUP BY conv_id
+        ), rebuilt AS (
+            SELECT a.conv_id, coalesce(b.own[:a.h], []) || a.own[a.h + 1:] AS path
+            FROM about a LEFT JOIN about b ON b.conv_id = a.conv_id - a.conv_id % 5
+        ), members AS (
+            SELECT conv_id, depth, len(path) = depth AS ends,
+                   array_to_string(list_transform(path[:depth], lambda t: t['key']), '') AS id,
+                   coalesce(path[depth]['bytes'], 0) AS bytes
+            FROM (SELECT *, unnest(range(len(path) + 1)) AS depth FROM rebuilt)
+        ), nodes AS MATERIALIZED (
+            SELECT id, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+                   sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY id, depth
+        ), related AS (
+            SELECT u.id, count(*) FILTER (v.depth = u.depth + 1) AS n_children, sum(v.saved) AS saved_tokens,
+                   count(*) FILTER (NOT EXISTS (SELECT 1 FROM nodes w WHERE w.depth = v.depth + 1 AND left(w.id, -64) = v.id)) AS n_leaves
+            FROM nodes u JOIN nodes v ON starts_with(v.id, u.id) GROUP BY u.id
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, r.n_children, r.n_leaves,
+               CAST(r.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN related r USING (id) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.id = left(n.id, -64)
+    """,
 }
