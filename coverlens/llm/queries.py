@@ -13,6 +13,7 @@ from coverlens.llm import (
     decontaminate,
     licenses,
     lm,
+    overlaps,
     packing,
     pii,
     prefixes,
@@ -79,6 +80,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.join(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -124,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_language_model": op10_language_model,
+    "op11_ngram_join": op11_ngram_join,
     "op12_centroids": op12_centroids,
     "op13_prefixes": op13_prefixes,
 }
