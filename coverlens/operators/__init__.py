@@ -10,6 +10,7 @@ from coverlens.operators.projects import (
     flag_projects,
     window_sensitivity,
 )
+from coverlens.operators.ranges import equal_cuts, range_number
 from coverlens.operators.selection import exact_median, ntile_expression, order_statistics
 from coverlens.operators.tables import (
     band_distribution,
@@ -28,6 +29,7 @@ __all__ = [
     "band_distribution",
     "coverage",
     "cross_tab",
+    "equal_cuts",
     "exact_median",
     "fallback_medians",
     "first_of_project",
@@ -40,6 +42,7 @@ __all__ = [
     "measures",
     "ntile_expression",
     "order_statistics",
+    "range_number",
     "same_key",
     "totals",
     "window_sensitivity",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverlens.operators.ranges import equal_cuts, range_number
+
 ROW_GROUP_ROWS = 122_880
 
 
@@ -23,31 +25,41 @@ def write_parquet(df: DataFrame, path: str, *, overwrite: bool = False, mode: st
 
 
 def in_position_order(
-    df: DataFrame, position: str, last_position: int, rows_per_file: int = 5_000_000
+    df: DataFrame,
+    position: str,
+    rows_per_file: int = 5_000_000,
+    *,
+    counted: DataFrame | None = None,
+    extent: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Global order by a 1..``last_position`` numbering, one partition per output file.
+    """Global order by a numbering, one partition per output file of ``rows_per_file`` rows.
 
-    The partition of a row follows from its position, so there is no sampling pass over the
-    input as in a sort by an arbitrary key, and no partition exceeds ``rows_per_file`` rows.
+    The numbers may have gaps of any size: the files' boundaries are counted (``equal_cuts``), on
+    ``counted`` where a cheaper table holds the same numbers. ``df`` itself is not read for it, and
+    its rows move once, to the file that their number names. Rows without a number come first.
     """
-    files = max(1, -(-last_position // rows_per_file))
-    target = F.floor((F.col(position) - 1) / F.lit(rows_per_file)).cast("int")
-    return df.repartitionById(files, target).sortWithinPartitions(position)
+    cuts = equal_cuts(df if counted is None else counted, position, rows_per_file, extent=extent)
+    target = range_number(F.col(position).cast("long"), cuts)
+    return df.repartitionById(len(cuts) + 1, target).sortWithinPartitions(position)
 
 
 def write_ordered(
     df: DataFrame,
     path: str,
     position: str,
-    last_position: int,
+    last_position: int | None = None,
     *,
     rows_per_file: int = 5_000_000,
     overwrite: bool = False,
+    counted: DataFrame | None = None,
 ) -> None:
-    """Parquet whose files, read in name order, are sorted by ``position``."""
-    write_parquet(
-        in_position_order(df, position, last_position, rows_per_file), path, overwrite=overwrite
-    )
+    """Parquet whose files, read in name order, are sorted by ``position``.
+
+    ``last_position``, where known, says that the numbers are 1 to that one and spares a pass.
+    """
+    extent = None if last_position is None else (1, last_position)
+    ordered = in_position_order(df, position, rows_per_file, counted=counted, extent=extent)
+    write_parquet(ordered, path, overwrite=overwrite)
 
 
 def write_csv_report(

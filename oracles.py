@@ -489,6 +489,12 @@ FROM export WHERE build_year >= 1996"""
 ORACLES["export_method_counts"] = _EXPORT + """
 SELECT capacity_ac_method, count(*) AS systems FROM export GROUP BY 1"""
 
+ORACLES["export_files"] = _RECORDS + """, numbered AS (
+  SELECT tts_row0, (row_number() OVER (ORDER BY tts_row0) - 1) // 1000 AS file
+  FROM recs WHERE PV_system_size_DC > 0 AND technology_type <> 'storage-only'
+)
+SELECT file, count(*) AS n_rows, min(tts_row0) AS first_row, max(tts_row0) AS last_row FROM numbered GROUP BY file"""
+
 ORACLES["lineitem_bands"] = f"""
 WITH items AS (
   SELECT l_extendedprice / 1000 AS kw, l_quantity AS usd, l_extendedprice / 1000 AS usd_kw
