@@ -1,13 +1,14 @@
 """Distributed operators: ``DataFrame -> DataFrame``."""
 
-from coverlens.operators.duplicates import DuplicateRule, flag_exact_duplicates
-from coverlens.operators.impute import fallback_medians, impute_from_medians
+from coverlens.operators.duplicates import DuplicateRule, copies_lookup, flag_exact_duplicates
+from coverlens.operators.impute import fallback_medians, impute_from_medians, median_lookups
 from coverlens.operators.keys import same_key
-from coverlens.operators.lookup import lookup_join
+from coverlens.operators.lookup import Lookup, lookup_join, lookup_joins
 from coverlens.operators.projects import (
     ProjectRule,
     first_of_project,
     flag_projects,
+    project_lookup,
     window_sensitivity,
 )
 from coverlens.operators.ranges import equal_cuts, range_number
@@ -25,8 +26,10 @@ from coverlens.operators.tables import (
 
 __all__ = [
     "DuplicateRule",
+    "Lookup",
     "ProjectRule",
     "band_distribution",
+    "copies_lookup",
     "coverage",
     "cross_tab",
     "equal_cuts",
@@ -39,9 +42,12 @@ __all__ = [
     "growth",
     "impute_from_medians",
     "lookup_join",
+    "lookup_joins",
     "measures",
+    "median_lookups",
     "ntile_expression",
     "order_statistics",
+    "project_lookup",
     "range_number",
     "same_key",
     "totals",

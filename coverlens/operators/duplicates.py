@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlens import schema
-from coverlens.operators.lookup import lookup_join
+from coverlens.operators.lookup import Lookup, lookup_join
 from coverlens.session import BROADCAST_ROWS
 
 
@@ -26,14 +26,8 @@ class DuplicateRule:
         return no_link | F.coalesce(F.col(self.price) <= 0, F.lit(False))
 
 
-def flag_exact_duplicates(
-    df: DataFrame,
-    rule: DuplicateRule,
-    *,
-    flag: str = "exact_duplicate",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Add a boolean: at least one other row agrees on all of ``rule.keys``.
+def copies_lookup(df: DataFrame, rule: DuplicateRule, flag: str = "exact_duplicate") -> Lookup:
+    """Keys that two or more rows of ``df`` share; ``flag`` is the lookup's hit.
 
     Counting is a grouped aggregate with map-side combine, and only keys seen more than once
     travel back, so a group of copies of any size is never gathered in one place.
@@ -41,16 +35,27 @@ def flag_exact_duplicates(
     copies = (
         df.filter(~rule.excluded())
         .groupBy(*rule.keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > 1)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .filter(F.col("_copies") > 1)
     )
-    marked = lookup_join(
+    return Lookup(copies, list(rule.keys), "_copies", hit=flag, eligible=~rule.excluded())
+
+
+def flag_exact_duplicates(
+    df: DataFrame,
+    rule: DuplicateRule,
+    *,
+    flag: str = "exact_duplicate",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add a boolean: at least one other row agrees on all of ``rule.keys``."""
+    found = copies_lookup(df, rule, flag)
+    return lookup_join(
         df,
-        copies,
-        list(rule.keys),
-        weight="_rows",
-        hit="_copied",
-        eligible=~rule.excluded(),
+        found.table,
+        found.keys,
+        weight=found.weight,
+        hit=flag,
+        eligible=found.eligible,
         broadcast_rows=broadcast_rows,
     )
-    return marked.select(*df.columns, F.col("_copied").alias(flag))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.operators.lookup import lookup_join
+from coverlens.operators.lookup import Lookup, lookup_join
 from coverlens.operators.selection import exact_median
 from coverlens.session import BROADCAST_ROWS, materialize
 
@@ -39,6 +39,29 @@ def fallback_medians(
     return exact_median(entered, ["_level", *keys], value, weight="_times")
 
 
+def median_lookups(
+    medians: DataFrame, keys: Sequence[str], *, min_cell: int, overall_digits: int = 6
+) -> tuple[list[Lookup], Column]:
+    """Lookups of the levels' medians that rest on ``min_cell`` values, and the finest one found.
+
+    The second is a column over a row that the lookups' columns were attached to; without any it is
+    the overall median.
+    """
+    medians = materialize(medians)
+    whole = medians.filter(F.col("_level") == 0).select("median").first()  # a single row
+    best = [F.lit(float(f"{whole[0]:.{overall_digits}f}") if whole else None).cast("double")]
+    lookups = []
+    for depth in range(1, len(keys) + 1):
+        used = list(keys[:depth])
+        cell = medians.filter((F.col("_level") == depth) & (F.col("_n") >= min_cell))
+        for key in used:
+            cell = cell.filter(F.col(key).isNotNull())
+        cell = cell.select(*used, F.col("median").alias(f"_median{depth}"), "_n")
+        lookups.append(Lookup(cell, used, "_n", written=True))
+        best.insert(0, F.col(f"_median{depth}"))
+    return lookups, F.coalesce(*best)
+
+
 def impute_from_medians(
     df: DataFrame,
     medians: DataFrame,
@@ -53,18 +76,10 @@ def impute_from_medians(
 
     A NULL key never selects a group; that row falls back to the next coarser level.
     """
-    medians = materialize(medians)
-    whole = medians.filter(F.col("_level") == 0).select("median").first()  # a single row
-    best = [F.lit(float(f"{whole[0]:.{overall_digits}f}") if whole else None).cast("double")]
+    lookups, best = median_lookups(medians, keys, min_cell=min_cell, overall_digits=overall_digits)
     out = df
-    for depth in range(1, len(keys) + 1):
-        used = list(keys[:depth])
-        cell = medians.filter((F.col("_level") == depth) & (F.col("_n") >= min_cell))
-        for key in used:
-            cell = cell.filter(F.col(key).isNotNull())
-        cell = cell.select(*used, F.col("median").alias(f"_median{depth}"), "_n")
+    for cell in lookups:
         out = lookup_join(
-            out, cell, used, weight="_n", written=True, broadcast_rows=broadcast_rows
+            out, cell.table, cell.keys, weight=cell.weight, written=True, broadcast_rows=broadcast_rows
         )
-        best.insert(0, F.col(f"_median{depth}"))
-    return out.select(*df.columns, F.coalesce(*best).alias(name))
+    return out.select(*df.columns, best.alias(name))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from coverlens import schema
 from coverlens.functions import month_number
-from coverlens.operators.lookup import lookup_join
+from coverlens.operators.lookup import Lookup, lookup_join
 from coverlens.session import BROADCAST_ROWS
 
 
@@ -81,6 +81,33 @@ def first_of_project(df: DataFrame, rule: ProjectRule, payload: Sequence[str]) -
     return _windows(months, rule).select(*[F.col(f"_head.{c}").alias(c) for c in payload])
 
 
+def project_lookup(
+    df: DataFrame, rule: ProjectRule, row_id: str, first: str = "first_at_address"
+) -> tuple[Lookup, Column]:
+    """The links of ``df`` with their earliest date ``first`` and project heads; and the flag made of them.
+
+    The flag is a column over a row that the lookup's columns were attached to: this row stands for its
+    project. Rows that cannot share one are only counted per link; heads are sought among the others.
+    """
+    able = rule.linked() & F.col(rule.date).isNotNull()
+    if rule.window_months > 0:
+        head = F.min(_head(rule, [row_id])).alias("_head")
+        entries = _windows(_months(df.filter(able), rule, head), rule)
+        rest = df.filter(~able)
+        heads = [F.collect_list(f"_head.{row_id}").alias("_heads")]  # one per window of the calendar
+        is_head = F.array_contains("_heads", F.col(row_id))
+    else:
+        entries, rest, heads, is_head = None, df, [], F.lit(True)
+    alone = rest.groupBy(F.col(rule.link).alias("_link")).agg(
+        F.min(rule.date).alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
+    entries = alone if entries is None else entries.drop("_window").unionByName(alone, allowMissingColumns=True)
+    links = entries.groupBy(F.col("_link").alias(rule.link)).agg(
+        F.min("_first").alias(first), F.sum("_rows").alias("_rows"), *heads
+    )
+    return Lookup(links, [rule.link], "_rows"), F.when(able, is_head).otherwise(True)
+
+
 def flag_projects(
     df: DataFrame,
     rule: ProjectRule,
@@ -97,27 +124,9 @@ def flag_projects(
     table too, so that no key of any size is left to the shuffle. Missing codes are links there:
     their rows get the earliest date of their code, as in SQL, and always stand alone.
     """
-    if rule.window_months > 0:
-        # undated rows are a month of their own without a head, so they count but open nothing
-        heads_of_month = F.min(F.when(F.col(rule.date).isNotNull(), _head(rule, [row_id])))
-        entries = _windows(_months(df, rule, heads_of_month.alias("_head")), rule)
-        # at most one head per window of the calendar
-        heads = [F.collect_list(f"_head.{row_id}").alias("_heads")]
-        is_head = F.array_contains("_heads", F.col(row_id))
-    else:
-        entries, heads, is_head = _months(df, rule), [], F.lit(True)
-    links = entries.groupBy(F.col("_link").alias(rule.link)).agg(
-        F.min("_first").alias(first), F.sum("_rows").alias("_rows"), *heads
-    )
-    joined = lookup_join(
-        df,
-        links,
-        [rule.link],
-        weight="_rows",
-        broadcast_rows=broadcast_rows,
-    )
-    ranked = rule.linked() & F.col(rule.date).isNotNull()
-    return joined.select(*df.columns, first, F.when(ranked, is_head).otherwise(True).alias(flag))
+    links, stands = project_lookup(df, rule, row_id, first)
+    joined = lookup_join(df, links.table, links.keys, weight=links.weight, broadcast_rows=broadcast_rows)
+    return joined.select(*df.columns, first, stands.alias(flag))
 
 
 def window_sensitivity(df: DataFrame, rule: ProjectRule, windows: Sequence[int]) -> DataFrame:

@@ -7,7 +7,7 @@ the driver holds is bounded: the counts of one histogram and one number per rang
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 
 BUCKETS = 65_536
 OUTSIDE = None
+_TREE_CUTS = 63
 
 
 def equal_cuts(
     df: DataFrame,
     position: str,
-    every: int,
+    every: int | Callable[[int], int],
     *,
     extent: tuple[int, int] | None = None,
     buckets: int = BUCKETS,
 ) -> list[int]:
     """The first number of every range but the first, ascending, such that a range has ``every`` rows.
 
-    The last range may have fewer. ``position`` is a whole number; rows without one are not counted.
+    ``every`` may be told by a function of the number of rows. The last range may have fewer. ``position`` is a whole number; rows without one are not counted.
     Where it repeats, equal numbers stay together, so that a range may differ by their count and a cut may
     be missing. ``extent`` (least, greatest) spares the pass that finds them; numbers outside it bring
     that pass back. Every pass reads the one column; there is one per factor of
@@ -45,6 +46,7 @@ def equal_cuts(
     if counted.pop(OUTSIDE, None):
         return equal_cuts(df, position, every, buckets=buckets)
     total = sum(n for own in counted.values() for _, n in own)
+    every = every(total) if callable(every) else every
     located = _locate(counted, {low: 0}, step, every, total)
     while located and step > 1:
         starts = sorted(located)
@@ -56,8 +58,8 @@ def equal_cuts(
 
 
 def _longs(numbers: Sequence[int]) -> Column:
-    """A constant array; one literal to the client however long it is."""
-    return F.transform(F.split(F.lit(",".join(map(str, numbers))), ","), lambda n: n.cast("long"))
+    """A constant array: one literal to the client however long it is, folded once."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
 def _histogram(rows: DataFrame, starts: Sequence[int], width: int, step: int) -> dict[int | None, list[tuple[int, int]]]:
@@ -90,11 +92,12 @@ def _locate(
 def range_number(position: Column, cuts: Sequence[int]) -> Column:
     """How many ``cuts`` (ascending) are at most ``position``: the number of its range, from 0.
 
-    A search by halving inside one expression, so that a row costs the logarithm of their number.
-    A missing position belongs to the first range.
+    A search by halving inside one expression, so that a row costs the logarithm of their number: few
+    cuts are a tree of comparisons that compiles, many a constant array. A missing position belongs to
+    the first range.
     """
-    if not cuts:
-        return F.lit(0)
+    if len(cuts) <= _TREE_CUTS:
+        return _tree(position, cuts, 0)
     table, steps = _longs(cuts), [1 << i for i in reversed(range(len(cuts).bit_length()))]
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
@@ -102,3 +105,11 @@ def range_number(position: Column, cuts: Sequence[int]) -> Column:
         lambda at, step: at + F.when(F.get(table, at + step - 1) <= position, step).otherwise(0),
     )
     return F.when(position.isNull(), 0).otherwise(found)
+
+
+def _tree(position: Column, cuts: Sequence[int], before: int) -> Column:
+    if not cuts:
+        return F.lit(before)
+    middle = len(cuts) // 2
+    above = _tree(position, cuts[middle + 1 :], before + middle + 1)
+    return F.when(position >= F.lit(cuts[middle]), above).otherwise(_tree(position, cuts[:middle], before))

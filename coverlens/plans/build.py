@@ -29,7 +29,7 @@ def build_export(
     *,
     first_year: int = 1996,
     expected_in_window: int | None = None,
-    rows_per_file: int = 5_000_000,
+    rows_per_file: int | None = None,
     overwrite: bool = False,
 ) -> Export:
     """Write the export, verify the re-read file (``CheckFailed`` if it is bad) and sum it up.

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from coverlens.operators.ranges import equal_cuts, range_number
 
 ROW_GROUP_ROWS = 122_880
+# a file is written by one task, from as many rows as that task sorts
+FILE_ROWS = 5_000_000
 
 
 def _mode(overwrite: bool) -> str:
@@ -24,21 +26,33 @@ def write_parquet(df: DataFrame, path: str, *, overwrite: bool = False, mode: st
     )
 
 
+def file_cuts(
+    df: DataFrame, position: str, rows_per_file: int | None = None, extent: tuple[int, int] | None = None
+) -> list[int]:
+    """Where the files of an ordered table begin, but the first: every ``rows_per_file`` rows.
+
+    By default as many rows as keep all cores busy, one row group at least and ``FILE_ROWS`` at most.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    by_cores = lambda rows: min(FILE_ROWS, max(ROW_GROUP_ROWS, -(-rows // cores)))
+    return equal_cuts(df, position, rows_per_file or by_cores, extent=extent)
+
+
 def in_position_order(
     df: DataFrame,
     position: str,
-    rows_per_file: int = 5_000_000,
+    rows_per_file: int | None = None,
     *,
     counted: DataFrame | None = None,
     extent: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Global order by a numbering, one partition per output file of ``rows_per_file`` rows.
+    """Global order by a numbering, one partition per output file (``file_cuts``).
 
-    The numbers may have gaps of any size: the files' boundaries are counted (``equal_cuts``), on
-    ``counted`` where a cheaper table holds the same numbers. ``df`` itself is not read for it, and
-    its rows move once, to the file that their number names. Rows without a number come first.
+    The numbers may have gaps of any size: the files' boundaries are counted, on ``counted`` where a
+    cheaper table holds the same numbers. ``df`` itself is not read for it, and its rows move once, to
+    the file that their number names. Rows without a number come first.
     """
-    cuts = equal_cuts(df if counted is None else counted, position, rows_per_file, extent=extent)
+    cuts = file_cuts(df if counted is None else counted, position, rows_per_file, extent)
     target = range_number(F.col(position).cast("long"), cuts)
     return df.repartitionById(len(cuts) + 1, target).sortWithinPartitions(position)
 
@@ -49,7 +63,7 @@ def write_ordered(
     position: str,
     last_position: int | None = None,
     *,
-    rows_per_file: int = 5_000_000,
+    rows_per_file: int | None = None,
     overwrite: bool = False,
     counted: DataFrame | None = None,
 ) -> None:
