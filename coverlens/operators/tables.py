@@ -59,9 +59,10 @@ def with_median(
     value: str,
     name: str,
     digits: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Join the exact median of ``value`` to a table that has one row per ``keys``."""
-    medians = exact_median(rows, keys, value, name).drop("_n")
+    medians = exact_median(rows, keys, value, name, weight=weight).drop("_n")
     shown = F.col(name) if digits is None else round_to(F.col(name), digits)
     medians = medians.select(*[F.col(k).alias(f"_m_{k}") for k in keys], shown.alias(name))
     return report.join(medians, same_key(report, medians, keys, "_m_"), "left").drop(
@@ -69,20 +70,21 @@ def with_median(
     )
 
 
-def band_distribution(rows: DataFrame, band: str) -> DataFrame:
+def band_distribution(sizes: DataFrame, band: str) -> DataFrame:
     """Per band: counts, shares, running totals, capacity, median size and price.
 
-    ``rows`` carries the columns of ``measures``. The windows run over the finished groups only,
-    one row per label of the ladder.
+    ``sizes`` has a row per size ``kw`` with its counts ``n_sized`` and ``n_priced`` and its sums
+    ``kw_sum``, ``usd`` and ``usd_kw``. The windows run over the finished groups only, one row per
+    label of the ladder.
     """
-    grouped = rows.groupBy(band).agg(
-        totals.rows().alias("n_systems"),
-        F.sum("kw").alias("_kw"),
-        F.count("usd").alias("n_priced"),
+    grouped = sizes.groupBy(band).agg(
+        F.sum("n_sized").alias("n_systems"),
+        F.sum("kw_sum").alias("_kw"),
+        F.sum("n_priced").alias("n_priced"),
         totals.musd().alias("capital_musd"),
         totals.usd_per_watt().alias("usd_per_watt"),
     )
-    grouped = with_median(grouped, rows, [band], "kw", "median_kw", 1)
+    grouped = with_median(grouped, sizes, [band], "kw", "median_kw", 1, weight="n_sized")
     everything = Window.partitionBy()
     running = Window.orderBy(F.asc_nulls_last(band))
     total = F.sum("n_systems").over(everything)

@@ -29,6 +29,7 @@ from coverlens.operators.projects import first_of_project, flag_projects, window
 from coverlens.operators.selection import ntile_expression
 from coverlens.operators.tables import totals, with_median
 from coverlens.plans.params import StudyParams
+from coverlens.plans.store import StudyStore, build_store, cells, cells_of
 from coverlens.sources.parquet import describe
 from coverlens.sources.sinks import write_csv_report
 
@@ -70,21 +71,15 @@ def schema_listing(df: DataFrame, p: StudyParams) -> DataFrame:
     return describe(df)
 
 
-def overview(df: DataFrame, p: StudyParams) -> DataFrame:
-    # Combining per (state, provider) first keeps the two distinct counts off the raw rows.
-    cells = df.groupBy("state", "data_provider_1").agg(
-        totals.rows().alias("_rows"),
-        F.min(DATE).alias("_first"),
-        F.max(DATE).alias("_last"),
-        F.count_if(F.col(SIZE) <= 0).alias("_unsized"),
-    )
-    return cells.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_records"),
+def overview_of(found: DataFrame, p: StudyParams) -> DataFrame:
+    # Cells per (state, provider) keep the two distinct counts off the raw rows.
+    return found.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_records"),
         F.count_distinct("state").alias("states_covered"),
         F.count_distinct("data_provider_1").alias("data_providers"),
-        F.min("_first").cast("string").alias("earliest_install"),
-        F.max("_last").cast("string").alias("latest_install"),
-        F.coalesce(F.sum("_unsized"), F.lit(0)).alias("records_missing_size"),
+        F.min("first_date").cast("string").alias("earliest_install"),
+        F.max("last_date").cast("string").alias("latest_install"),
+        F.coalesce(F.sum("n_unsized"), F.lit(0)).alias("records_missing_size"),
     )
 
 
@@ -136,9 +131,9 @@ def annual_completeness(df: DataFrame, p: StudyParams) -> DataFrame:
 # --- how sizes are distributed ----------------------------------------------------------------
 
 
-def size_bands(df: DataFrame, p: StudyParams) -> DataFrame:
-    rows = tables.measures(sized_since_start(df, p)).withColumn("size_bin", size_band(F.col("kw")))
-    return tables.band_distribution(rows, "size_bin").orderBy("size_bin")
+def size_bands_of(found: DataFrame, p: StudyParams) -> DataFrame:
+    sizes = found.filter(F.col("n_sized") > 0).withColumn("size_bin", size_band(F.col("kw")))
+    return tables.band_distribution(sizes, "size_bin").orderBy("size_bin")
 
 
 def size_bands_by_year(df: DataFrame, p: StudyParams) -> DataFrame:
@@ -214,11 +209,10 @@ def residential_label_check(df: DataFrame, p: StudyParams) -> DataFrame:
     ).orderBy(F.desc("res_labeled_systems"), "state")
 
 
-def zip_format_check(df: DataFrame, p: StudyParams) -> DataFrame:
-    # Counts alone over the raw rows: a minimum of texts there would sort them all.
-    codes = df.groupBy("zip_code", "state").agg(totals.rows().alias("n"))
-    report = codes.groupBy(zip_format(F.col("zip_code")).alias("zip_format")).agg(
-        F.sum("n").alias("records"),
+def zip_format_check_of(found: DataFrame, p: StudyParams) -> DataFrame:
+    # Cells per code: a minimum of texts over raw rows would sort them all.
+    report = found.groupBy(zip_format(F.col("zip_code")).alias("zip_format")).agg(
+        F.sum("n_rows").alias("records"),
         F.count_distinct("state").alias("states"),
         F.min("zip_code").alias("example"),
     )
@@ -229,14 +223,15 @@ def zip_format_check(df: DataFrame, p: StudyParams) -> DataFrame:
     ).orderBy("zip_format")
 
 
-def zip5_recovery(df: DataFrame, p: StudyParams) -> DataFrame:
+def zip5_recovery_of(found: DataFrame, p: StudyParams) -> DataFrame:
     code = zip5(F.col("zip_code"))
-    usable = F.count_if(is_zip5(code))
-    return df.filter(named(F.col("zip_code"))).agg(
-        totals.rows().alias("non_missing"),
+    known = F.coalesce(F.sum("n_rows"), F.lit(0))
+    usable = F.coalesce(F.sum(F.when(is_zip5(code), F.col("n_rows"))), F.lit(0))
+    return found.filter(named(F.col("zip_code"))).agg(
+        known.alias("non_missing"),
         usable.alias("valid_after"),
-        (totals.rows() - usable).alias("still_broken"),
-        share(usable, totals.rows(), 2).alias("pct_valid_after"),
+        (known - usable).alias("still_broken"),
+        share(usable, known, 2).alias("pct_valid_after"),
     )
 
 
@@ -571,16 +566,16 @@ def missing_states(df: DataFrame, p: StudyParams) -> DataFrame:
     ).orderBy("midscale_systems", "state")
 
 
-def midscale_penetration(df: DataFrame, p: StudyParams) -> DataFrame:
-    rows = sized_since_start(df, p)
-    inside = in_band(p)
+def midscale_penetration_of(found: DataFrame, p: StudyParams) -> DataFrame:
+    midscale = F.coalesce(F.sum(F.when(F.col("inside"), F.col("n_sized"))), F.lit(0))
     return (
-        rows.groupBy("state")
+        found.filter(F.col("n_sized") > 0)
+        .groupBy("state")
         .agg(
-            totals.rows().alias("all_projects"),
-            F.count_if(inside).alias("midscale_systems"),
-            share(F.count_if(inside), totals.rows(), 2).alias("pct_midscale_by_count"),
-            share(F.sum(F.when(inside, F.col(SIZE))), F.sum(SIZE)).alias("pct_midscale_by_mw"),
+            F.sum("n_sized").alias("all_projects"),
+            midscale.alias("midscale_systems"),
+            share(midscale, F.sum("n_sized"), 2).alias("pct_midscale_by_count"),
+            share(F.sum(F.when(F.col("inside"), F.col("kw_sum"))), F.sum("kw_sum")).alias("pct_midscale_by_mw"),
         )
         .filter(F.col("all_projects") >= p.min_market_rows)
         .orderBy(F.asc_nulls_last("pct_midscale_by_mw"), "state")
@@ -663,22 +658,36 @@ def midscale_extract(df: DataFrame, p: StudyParams) -> DataFrame:
 
 Report = Callable[[DataFrame, StudyParams], DataFrame]
 
+#: table -> the cells it is made of, and how
+OF_CELLS: dict[str, tuple[str, Report]] = {
+    "02_overview": ("providers", overview_of),
+    "06_size_bands": ("sizes", size_bands_of),
+    "06h_zip_format_check": ("postal", zip_format_check_of),
+    "06i_zip5_recovery": ("postal", zip5_recovery_of),
+    "23_midscale_penetration": ("markets", midscale_penetration_of),
+}
+
+
+def _from_cells(name: str) -> Report:
+    wanted, made = OF_CELLS[name]
+    return lambda df, p: made(cells(df, p, wanted), p)
+
 # --- fixed values: output table names, in publication order -----------------------------------
 REPORTS: dict[str, Report] = {
     "01_schema": schema_listing,
-    "02_overview": overview,
+    "02_overview": _from_cells("02_overview"),
     "03_field_coverage": field_coverage,
     "04_state_coverage": state_coverage,
     "05_annual_completeness": annual_completeness,
-    "06_size_bands": size_bands,
+    "06_size_bands": _from_cells("06_size_bands"),
     "06b_size_bands_by_year": size_bands_by_year,
     "06c_size_bands_by_state": size_bands_by_state,
     "06d_size_bands_by_segment": size_bands_by_segment,
     "06e_res_label_check": residential_label_check,
     "06f_rows_vs_projects": rows_vs_projects,
     "06g_dedup_window_sensitivity": dedup_sensitivity,
-    "06h_zip_format_check": zip_format_check,
-    "06i_zip5_recovery": zip5_recovery,
+    "06h_zip_format_check": _from_cells("06h_zip_format_check"),
+    "06i_zip5_recovery": _from_cells("06i_zip5_recovery"),
     "07_capital_headline": capital_headline,
     "08_capital_by_year": capital_by_year,
     "09_by_customer_segment": by_customer_segment,
@@ -695,7 +704,7 @@ REPORTS: dict[str, Report] = {
     "20_state_by_segment": state_by_segment,
     "21_utility_territory": utility_territory,
     "22_missing_states": missing_states,
-    "23_midscale_penetration": midscale_penetration,
+    "23_midscale_penetration": _from_cells("23_midscale_penetration"),
     "24_income_distribution": income_distribution,
     "25_tax_exempt_hosts": tax_exempt_hosts,
     "midscale_systems_2018plus": midscale_extract,
@@ -707,13 +716,26 @@ def run_report(name: str, df: DataFrame, params: StudyParams | None = None) -> D
     return REPORTS[name](df, params or StudyParams())
 
 
+def report_from(store: StudyStore, name: str, params: StudyParams | None = None) -> DataFrame:
+    """The same table as ``run_report``, from the stored cells or rows; only the schema asks the records."""
+    p = params or StudyParams()
+    if name in OF_CELLS:
+        wanted, made = OF_CELLS[name]
+        return made(cells_of(store.cells, wanted), p)
+    return REPORTS[name](store.records if name == "01_schema" else store.rows, p)
+
+
 def write_reports(
     df: DataFrame, folder: str, params: StudyParams | None = None, overwrite: bool = False
 ) -> list[str]:
-    """Write every table below ``folder``, one CSV folder per table name."""
+    """Write every table below ``folder``, one CSV folder per table name.
+
+    The records are read three times at most: for the schema, the cells and the rows of the study.
+    """
+    store = build_store(df, params or StudyParams())
     for name in REPORTS:
         write_csv_report(
-            run_report(name, df, params),
+            report_from(store, name, params),
             f"{folder}/{name}",
             single_file=name not in ROW_LEVEL,
             overwrite=overwrite,

@@ -489,6 +489,27 @@ FROM export WHERE build_year >= 1996"""
 ORACLES["export_method_counts"] = _EXPORT + """
 SELECT capacity_ac_method, count(*) AS systems FROM export GROUP BY 1"""
 
+_CELL_SUMS = """count(*) AS n_rows, count(*) FILTER (PV_system_size_DC <= 0) AS n_unsized, count(kw) AS n_sized,
+  count(kw) FILTER (total_installed_price > 0) AS n_priced, min(installation_date) AS first_date,
+  max(installation_date) AS last_date, round(sum(kw), 1) AS kw_sum,
+  round(sum(total_installed_price) FILTER (kw IS NOT NULL AND total_installed_price > 0), 1) AS usd,
+  round(sum(kw) FILTER (total_installed_price > 0), 1) AS usd_kw"""
+
+ORACLES["study_cells"] = _RECORDS + f""", marked AS (
+  SELECT recs.*,
+    CASE WHEN PV_system_size_DC > 0 AND installation_date >= TIMESTAMP '1996-01-01' THEN PV_system_size_DC END AS kw
+  FROM recs
+)
+SELECT 'providers' AS cell_set, state, data_provider_1, NULL AS zip_code, NULL AS inside, NULL AS kw, {_CELL_SUMS}
+FROM marked GROUP BY state, data_provider_1
+UNION ALL BY NAME
+SELECT 'postal' AS cell_set, state, zip_code, {_CELL_SUMS} FROM marked GROUP BY state, zip_code
+UNION ALL BY NAME
+SELECT 'markets' AS cell_set, state, inside, {_CELL_SUMS}
+FROM (SELECT *, kw >= 100 AND kw < 2000 AS inside FROM marked) GROUP BY state, inside
+UNION ALL BY NAME
+SELECT 'sizes' AS cell_set, kw, {_CELL_SUMS} FROM marked GROUP BY kw"""
+
 ORACLES["export_files"] = _RECORDS + """, numbered AS (
   SELECT tts_row0, (row_number() OVER (ORDER BY tts_row0) - 1) // 1000 AS file
   FROM recs WHERE PV_system_size_DC > 0 AND technology_type <> 'storage-only'
