@@ -29,7 +29,7 @@ from coverlens.operators.projects import first_of_project, flag_projects, window
 from coverlens.operators.selection import ntile_expression
 from coverlens.operators.tables import totals, with_median
 from coverlens.plans.params import StudyParams
-from coverlens.plans.store import StudyStore, build_store, cells, cells_of
+from coverlens.plans.store import StudyStore, build_store, cells, cells_of, single_sizes
 from coverlens.sources.parquet import describe
 from coverlens.sources.sinks import write_csv_report
 
@@ -670,6 +670,8 @@ OF_CELLS: dict[str, tuple[str, Report]] = {
 
 def _from_cells(name: str) -> Report:
     wanted, made = OF_CELLS[name]
+    if wanted == "sizes":  # sizes hardly repeat: one report of them is quicker without combining them
+        return lambda df, p: made(single_sizes(df, p), p)
     return lambda df, p: made(cells(df, p, wanted), p)
 
 # --- fixed values: output table names, in publication order -----------------------------------

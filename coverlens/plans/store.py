@@ -82,6 +82,18 @@ def cells(df: DataFrame, p: StudyParams, *sets: str) -> DataFrame:
     return found.select(name.alias("cell_set"), *keys, *[c for c in found.columns if c not in (*used, "_set")])
 
 
+def single_sizes(df: DataFrame, p: StudyParams) -> DataFrame:
+    """The sizes as cells of one row each, which add up to the same as those of `cells`."""
+    return measures(df).filter(_sized(p)).select(
+        "kw",
+        F.lit(1).cast("long").alias("n_sized"),
+        F.col("usd").isNotNull().cast("long").alias("n_priced"),
+        F.col("kw").alias("kw_sum"),
+        "usd",
+        "usd_kw",
+    )
+
+
 def cells_of(stored: DataFrame, name: str) -> DataFrame:
     return stored.filter(F.col("cell_set") == name)
 
