@@ -18,25 +18,10 @@ def fallback_medians(
     """Median of plausible values for every prefix of ``keys``, down to the whole table.
 
     Returns ``_level, keys, median, _n``; level ``len(keys)`` is the finest, 0 the whole table,
-    and keys beyond a level are NULL. Equal values of a finest group are counted first; only these
-    counts enter once per level.
+    and keys beyond a level are NULL. All levels come from one histogram, counted at the finest.
     """
     rows = df.filter(F.col(value).between(*plausible))
-    rows = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(depth).alias("_level"),
-                *[
-                    (F.col(k) if i < depth else F.lit(None).cast(df.schema[k].dataType)).alias(k)
-                    for i, k in enumerate(keys)
-                ],
-            )
-            for depth in range(len(keys) + 1)
-        ]
-    )
-    entered = rows.select(value, "_times", F.explode(levels).alias("_at")).select(value, "_times", "_at.*")
-    return exact_median(entered, ["_level", *keys], value, weight="_times")
+    return exact_median(rows, keys, value, levels=range(len(keys) + 1))
 
 
 def median_lookups(

@@ -43,6 +43,7 @@ def order_statistics(
     positions: Mapping[str, Column],
     *,
     weight: str | None = None,
+    levels: Sequence[int] | None = None,
     refine_rows: int = 2_000_000,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -52,6 +53,11 @@ def order_statistics(
     group) and the key columns. Returns ``keys, _n, _pos, _rank, _less, _value`` with ``_less``
     the number of smaller values; ranks outside the group give no row. ``weight`` optionally
     names how many times a row counts. NaN is larger than any number.
+
+    ``levels`` asks for groups by the first so many keys at once, 0 for the whole table; the result then
+    starts with ``_level``, and keys beyond a level are NULL. The histogram is counted at the finest
+    level and rolled up; rows enter it once, whatever the number of levels.
+    ``df`` is read twice at most: for the histogram, and for what lies in the buckets it points out.
     """
     keys = list(keys)
     rows = df.select(
@@ -61,6 +67,11 @@ def order_statistics(
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).filter(F.col("_v").isNotNull())
 
+    histogram = _counted(rows, [*keys, "_bucket"])
+    finest = keys
+    if levels is not None:
+        histogram = _rolled_up(materialize(histogram), keys, levels)
+        keys = ["_level", *keys]
     # Per group this window sees one row per bucket: bounded by the exponent range, not the data.
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,8 +82,7 @@ def order_statistics(
         ]
     )
     targets = (
-        _counted(rows, [*keys, "_bucket"])
-        .withColumn("_n", F.sum("_rows").over(group))
+        histogram.withColumn("_n", F.sum("_rows").over(group))
         .withColumn("_less", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
         .withColumn("_want", F.explode(ranks))
         .select("*", "_want._pos", "_want._rank")
@@ -83,6 +93,12 @@ def order_statistics(
     carried = [*keys, "_pos", "_rank", "_n", "_bucket"]
     found, widest = _extent(targets)
     before_that = None
+    if levels is not None and widest:
+        # one row per value of a finest group enters once per level
+        located = _combined(_located(rows, targets, ["_bucket"], found, broadcast_rows), finest)
+        rows = _entered(materialize(located), finest, levels)
+    elif widest > refine_rows:
+        rows = materialize(_combined(_located(rows, targets, [*keys, "_bucket"], found, broadcast_rows), keys))
     # Finer until small, or until a step parts nothing any more: the rest are few distinct values.
     while widest > refine_rows and widest != before_that:
         before_that = widest
@@ -110,6 +126,45 @@ def order_statistics(
     )
 
 
+def _entered(rows: DataFrame, keys: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """``rows`` once per level, with the keys beyond it set to NULL."""
+    at = F.array(
+        *[
+            F.struct(
+                F.lit(depth).alias("_level"),
+                *[
+                    (F.col(k) if i < depth else F.lit(None).cast(rows.schema[k].dataType)).alias(k)
+                    for i, k in enumerate(keys)
+                ],
+            )
+            for depth in levels
+        ]
+    )
+    others = [c for c in rows.columns if c not in keys]
+    return rows.select(*others, F.explode(at).alias("_at")).select("_at.*", *others)
+
+
+def _rolled_up(histogram: DataFrame, keys: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    return _entered(histogram, keys, levels).groupBy("_level", *keys, "_bucket").agg(
+        F.sum("_rows").alias("_rows"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
+    )
+
+
+def _located(
+    rows: DataFrame, targets: DataFrame, names: Sequence[str], found: int, broadcast_rows: int
+) -> DataFrame:
+    """The rows of any bucket in ``targets``, told by ``names`` alone."""
+    side = targets.select(*[F.col(n).alias(f"_t_{n}") for n in names]).distinct()
+    if found <= broadcast_rows:
+        side = F.broadcast(side)
+    return rows.join(side, same_key(rows, side, names, "_t_"), "left_semi")
+
+
+def _combined(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal values of a group as one row."""
+    return rows.groupBy(*keys, "_bucket", "_v").agg(F.sum("_w").alias("_w"))
+
+
 def _holding_rank(counted: DataFrame) -> DataFrame:
     rank, less = F.col("_rank"), F.col("_less")
     return counted.filter((rank >= less) & (rank < less + F.col("_rows")))
@@ -139,7 +194,7 @@ def _inside(
     if found <= broadcast_rows:
         side = F.broadcast(side)
     else:  # many groups: combine equal values before anything is shuffled to the join
-        rows = rows.groupBy(*keys, "_bucket", "_v").agg(F.sum("_w").alias("_w"))
+        rows = _combined(rows, keys)
     match = same_key(rows, side, [*keys, "_bucket"], "_t_")
     match = match & rows["_v"].between(side["_lo"], side["_hi"])
     return rows.join(side, match).drop(*[f"_t_{k}" for k in keys], "_t__bucket")
@@ -148,11 +203,15 @@ def _inside(
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "median", **options
 ) -> DataFrame:
-    """``keys, name, _n``: the interpolated median per group and how many values it rests on."""
+    """``keys, name, _n``: the interpolated median per group and how many values it rests on.
+
+    With ``levels`` also ``_level``, as in ``order_statistics``.
+    """
     n = F.col("_n")
     picked = order_statistics(
         df, keys, value, {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)}, **options
     )
+    keys = list(keys) if options.get("levels") is None else ["_level", *keys]
     wide = picked.groupBy(*keys).agg(
         F.max(F.when(F.col("_pos") == "lower", F.col("_value"))).alias("_lower"),
         F.max(F.when(F.col("_pos") == "upper", F.col("_value"))).alias("_upper"),
