@@ -2,6 +2,7 @@
 
 from coverlens.sources.ingest import ConversionFailed, convert_csv, ensure_parquet, pinned_schema
 from coverlens.sources.parquet import describe, load, with_row_position
+from coverlens.sources.records import read_cut
 from coverlens.sources.sinks import write_csv_report, write_ordered, write_parquet
 
 __all__ = [
@@ -11,6 +12,7 @@ __all__ = [
     "ensure_parquet",
     "load",
     "pinned_schema",
+    "read_cut",
     "with_row_position",
     "write_csv_report",
     "write_ordered",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coverlens import schema
+from coverlens.sources.records import can_cut, read_cut
 from coverlens.sources.sinks import write_parquet
 from coverlens.sources.store import exists, is_complete, move
 
@@ -33,7 +34,7 @@ def pinned_schema(
     are kept free of a time zone.
     """
     options = {**_CSV, **(csv_options or {}), "inferSchema": True, "samplingRatio": 1.0}
-    inferred = spark.read.options(**options).csv(path).schema
+    inferred = _read(spark, path, options).schema
     missing = [p for p in pins if p not in inferred.names]
     if missing:
         raise ConversionFailed(f"pinned columns not in the file: {missing}")
@@ -48,6 +49,16 @@ def pinned_schema(
     return T.StructType([T.StructField(f.name, final(f), True) for f in inferred])
 
 
+def _read(spark: SparkSession, path: str, options: Mapping[str, object], types: T.StructType | None = None) -> DataFrame:
+    """Line breaks in quotes (``multiLine``) are cut in parallel where the other options allow it."""
+    if str(options.get("multiLine", "")).lower() == "true" and can_cut(options):
+        cut = read_cut(spark, path, options, types)
+        if cut is not None:
+            return cut
+    reader = spark.read.options(**options)
+    return (reader if types is None else reader.schema(types)).csv(path)
+
+
 def convert_csv(
     spark: SparkSession,
     source: str,
@@ -64,13 +75,13 @@ def convert_csv(
     The copy is written beside ``target`` and moved there once it is verified, so ``target`` never
     holds unproven data. Sentinel codes are left as they are. Pass ``types`` to skip the inference
     pass over a large release whose schema is known, and ``csv_options`` for reader options such as
-    ``multiLine`` (line breaks within quotes; such a file is read by one task). Returns the
-    numbers that were checked.
+    ``multiLine`` (line breaks within quotes; such a file is cut in parallel, see
+    ``sources.records``). Returns the numbers that were checked.
     """
     if not overwrite and exists(spark, target):
         raise FileExistsError(f"{target} is there already; overwrite=True replaces it")
     types = types or pinned_schema(spark, source, pins, csv_options)
-    rows = spark.read.options(**{**_CSV, **(csv_options or {})}).schema(types).csv(source)
+    rows = _read(spark, source, {**_CSV, **(csv_options or {})}, types)
     unproven = f"{target.rstrip('/')}-unproven"
     write_parquet(rows, unproven, overwrite=True)
     found = verify_conversion(rows, spark.read.parquet(unproven), pins, leading_zero_column)
