@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +74,7 @@ def convert_csv(
     """Convert, prove it, then publish: same rows, same columns, identifiers still text.
 
     The copy is written beside ``target`` and moved there once it is verified, so ``target`` never
-    holds unproven data. Sentinel codes are left as they are. Pass ``types`` to skip the inference
+    holds unproven data. The proof of the CSV is taken while it is written, so it is not read again. Sentinel codes are left as they are. Pass ``types`` to skip the inference
     pass over a large release whose schema is known, and ``csv_options`` for reader options such as
     ``multiLine`` (line breaks within quotes; such a file is cut in parallel, see
     ``sources.records``). Returns the numbers that were checked.
@@ -82,28 +83,58 @@ def convert_csv(
         raise FileExistsError(f"{target} is there already; overwrite=True replaces it")
     types = types or pinned_schema(spark, source, pins, csv_options)
     rows = _read(spark, source, {**_CSV, **(csv_options or {})}, types)
-    unproven = f"{target.rstrip('/')}-unproven"
-    write_parquet(rows, unproven, overwrite=True)
-    found = verify_conversion(rows, spark.read.parquet(unproven), pins, leading_zero_column)
+    unproven = f"{target.rstrip('/')}-unproven-{uuid.uuid4().hex[:12]}"
+    told = Observation()
+    write_parquet(rows.observe(told, *_proof(rows, leading_zero_column)), unproven)
+    found = verify_conversion(rows, spark.read.parquet(unproven), pins, leading_zero_column, told.get)
     move(spark, unproven, target)
     return found
 
 
+def _proof(df: DataFrame, leading_zero_column: str | None) -> list[Column]:
+    """What two copies of a table must agree on: rows, values per column, and a sum over row hashes.
+
+    The hash passes over NULLs, so each column's absence is hashed beside it. Sums do not depend on
+    the order of rows, and need no shuffle.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    parts = [part for c in names for part in (F.col(c), F.col(c).isNull())]
+    zeros = F.count_if(F.col(leading_zero_column).startswith("0")) if leading_zero_column else F.max(F.lit(None).cast("long"))
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        zeros.alias("zeros"),
+        F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).alias("content"),
+        *[F.count(F.col(c)).alias(f"values_{i}") for i, c in enumerate(names)],
+    ]
+
+
 def verify_conversion(
-    source: DataFrame, written: DataFrame, pins: Sequence[str], leading_zero_column: str | None
+    source: DataFrame,
+    written: DataFrame,
+    pins: Sequence[str],
+    leading_zero_column: str | None,
+    observed: Mapping[str, object] | None = None,
 ) -> dict:
+    """Raise ``ConversionFailed`` unless ``written`` holds what ``source`` did, cell by cell.
+
+    ``observed`` is the proof taken of ``source`` while it was written (``_proof``); without it the
+    source is read for it.
+    """
     wrong = [p for p in pins if not isinstance(written.schema[p].dataType, T.StringType)]
     if wrong:
         raise ConversionFailed(f"identifiers stored as numbers: {wrong}")
     if written.columns != source.columns:
         raise ConversionFailed(f"columns differ: {source.columns} -> {written.columns}")
-    zeros = F.lit(None)
-    if leading_zero_column:
-        zeros = F.count_if(F.col(leading_zero_column).startswith("0"))
-    kept = written.agg(F.count(F.lit(1)).alias("rows"), zeros.alias("zeros")).first()
-    rows_in = source.count()
-    if rows_in != kept["rows"]:
-        raise ConversionFailed(f"row counts differ: {rows_in} -> {kept['rows']}")
+    if observed is None:
+        observed = source.agg(*_proof(source, leading_zero_column)).first().asDict()
+    kept = written.agg(*_proof(written, leading_zero_column)).first().asDict()
+    if observed["rows"] != kept["rows"]:
+        raise ConversionFailed(f"row counts differ: {observed['rows']} -> {kept['rows']}")
+    fewer = [c for i, c in enumerate(source.columns) if observed[f"values_{i}"] != kept[f"values_{i}"]]
+    if fewer:
+        raise ConversionFailed(f"numbers of values differ in {fewer}")
+    if observed["content"] != kept["content"]:
+        raise ConversionFailed("values differ")
     if leading_zero_column and not kept["zeros"]:
         warnings.warn(
             f"no {leading_zero_column} starts with 0; was it read as a number?", stacklevel=3

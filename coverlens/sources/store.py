@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 MARKER = "_SUCCESS"
@@ -24,12 +26,22 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Put a finished folder in the place of ``target``."""
+    """Put a finished folder in the place of ``target``.
+
+    What is there is set aside, not deleted, until the new folder has its place, and put back if
+    that fails; a crash between the two leaves both folders whole, under other names.
+    """
     if not is_complete(spark, source):
         raise FileNotFoundError(f"{source} is not a finished folder")
     old, files = _place(spark, target)
     new, _ = _place(spark, source)
-    if files.exists(old):
-        files.delete(old, True)
-    if not files.rename(new, old):
+    aside, _ = _place(spark, f"{target.rstrip('/')}-replaced-{uuid.uuid4().hex[:12]}")
+    replaced = files.exists(old)
+    if replaced and not files.rename(old, aside):
+        raise OSError(f"cannot set {target} aside")
+    if files.exists(old) or not files.rename(new, old):
+        if replaced and not files.exists(old):
+            files.rename(aside, old)
         raise OSError(f"cannot move {source} to {target}")
+    if replaced:
+        files.delete(aside, True)
