@@ -41,7 +41,7 @@ def build_export(
     table = write_export(
         df, p, path, rows_per_file=rows_per_file, overwrite=overwrite, medians=medians
     )
-    metrics = verify_export(table, pv, expected_in_window)
+    metrics = verify_export(table, pv, expected_in_window, stored=True)
     summaries = {
         "medians": median_summary(medians, p.min_median_rows, first_year),
         "methods": method_counts(table),
