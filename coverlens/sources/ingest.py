@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coverlens import schema
-from coverlens.sources.records import can_cut, read_cut
+from coverlens.sources.records import can_cut, cut_records, read_cut
 from coverlens.sources.sinks import write_parquet
 from coverlens.sources.store import exists, is_complete, move
 
@@ -28,14 +28,15 @@ def pinned_schema(
     path: str,
     pins: Sequence[str] = schema.IDENTIFIER_COLUMNS,
     csv_options: Mapping[str, object] | None = None,
+    cut: tuple[DataFrame, str] | None = None,
 ) -> T.StructType:
     """Types inferred from every row, except the identifiers in ``pins``, which stay text.
 
     Inference alone would read a postal code as a number and drop its leading zero. Timestamps
-    are kept free of a time zone.
+    are kept free of a time zone. ``cut``: the records of a ``multiLine`` file, if they are cut already.
     """
     options = {**_CSV, **(csv_options or {}), "inferSchema": True, "samplingRatio": 1.0}
-    inferred = _read(spark, path, options).schema
+    inferred = _read(spark, path, options, cut or _cut(spark, path, options)).schema
     missing = [p for p in pins if p not in inferred.names]
     if missing:
         raise ConversionFailed(f"pinned columns not in the file: {missing}")
@@ -50,12 +51,22 @@ def pinned_schema(
     return T.StructType([T.StructField(f.name, final(f), True) for f in inferred])
 
 
-def _read(spark: SparkSession, path: str, options: Mapping[str, object], types: T.StructType | None = None) -> DataFrame:
-    """Line breaks in quotes (``multiLine``) are cut in parallel where the other options allow it."""
+def _cut(spark: SparkSession, path: str, options: Mapping[str, object]) -> tuple[DataFrame, str] | None:
+    """Records with line breaks in quotes (``multiLine``), cut in parallel where the options allow it."""
     if str(options.get("multiLine", "")).lower() == "true" and can_cut(options):
-        cut = read_cut(spark, path, options, types)
-        if cut is not None:
-            return cut
+        return cut_records(spark, path)
+    return None
+
+
+def _read(
+    spark: SparkSession,
+    path: str,
+    options: Mapping[str, object],
+    cut: tuple[DataFrame, str] | None,
+    types: T.StructType | None = None,
+) -> DataFrame:
+    if cut is not None:
+        return read_cut(spark, path, options, types, cut)
     reader = spark.read.options(**options)
     return (reader if types is None else reader.schema(types)).csv(path)
 
@@ -81,8 +92,10 @@ def convert_csv(
     """
     if not overwrite and exists(spark, target):
         raise FileExistsError(f"{target} is there already; overwrite=True replaces it")
-    types = types or pinned_schema(spark, source, pins, csv_options)
-    rows = _read(spark, source, {**_CSV, **(csv_options or {})}, types)
+    options = {**_CSV, **(csv_options or {})}
+    cut = _cut(spark, source, options)
+    types = types or pinned_schema(spark, source, pins, csv_options, cut)
+    rows = _read(spark, source, options, cut, types)
     unproven = f"{target.rstrip('/')}-unproven-{uuid.uuid4().hex[:12]}"
     told = Observation()
     write_parquet(rows.observe(told, *_proof(rows, leading_zero_column)), unproven)

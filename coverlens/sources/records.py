@@ -124,14 +124,21 @@ def cut_records(spark: SparkSession, path: str) -> tuple[DataFrame, str] | None:
     return records.select(F.translate(record, "\r", free[1]).alias("value")), "".join(free)
 
 
-def read_cut(spark: SparkSession, path: str, options: Mapping[str, object], schema=None) -> DataFrame | None:
+def read_cut(
+    spark: SparkSession,
+    path: str,
+    options: Mapping[str, object],
+    schema: StructType | None = None,
+    cut: tuple[DataFrame, str] | None = None,
+) -> DataFrame | None:
     """The table of a CSV whose quoted texts may hold line breaks, read by as many tasks as it has ranges.
 
     Equal to Spark's own reader with ``multiLine``, which reads a file in one task, but for the order
     of the records that cross a range's end; and line ends within quotes stay as they are, while that
-    reader turns CR LF into LF where lines end so. None if the file cannot be cut.
+    reader turns CR LF into LF where lines end so. None if the file cannot be cut. ``cut`` passes on
+    the result of ``cut_records``, for a second reading.
     """
-    cut = cut_records(spark, path)
+    cut = cut or cut_records(spark, path)
     if cut is None:
         return None
     records, marks = cut
