@@ -6,8 +6,8 @@ Spark aggregation over all training texts, the counts of words, of subword ids a
 classes. Classes are the most frequent ids, one each, and bins of the others: the attention model
 predicts the class, and the id's share of its class's count does the rest.
 
-The attention weights are trained where the data are: every partition trains a copy on a fixed share
-of its windows, and the copies are averaged; so what is learnt from grows with the corpus.
+The attention weights are trained where the data are: every partition trains a copy on its windows, and
+the copies are averaged after each round. Every window of every training text is trained on, once.
 """
 
 from __future__ import annotations
@@ -29,17 +29,13 @@ from coverlens.llm.tokens import ChunkTokenizer
 HOLD_OUT = (7, 2)
 #: Text bytes of a chunk, beyond one text.
 CHUNK_BYTES = 4_000_000
-#: Subword ids: the tokenizer's, of which the end's is the last.
-VOCABULARY = 49_408
-END_ID = VOCABULARY - 1
 #: Bins for the ids that are too rare to be a class of their own.
 BINS = 16
 OWN_CLASSES = attention.GROUP**2 - BINS
 #: Weight of the classes' own shares in their shares after another class, in tokens.
 PRIOR = 8
-#: Every so many-th window of a training text is trained on, in each of so many rounds.
-WINDOW_SHARE = 128
-ROUNDS = 2
+#: The learning rate of each round; a round trains on every so many-th window as there are rounds, and
+#: all rounds together on every window.
 RATES = (0.02, 0.008)
 #: The end of a text is a word with this key, at place 0 of every dictionary.
 END_KEY = 0
@@ -49,7 +45,7 @@ BUCKET_ENTRIES = 500_000
 
 _CHUNK = (
     "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, keys array<long>, "
-    "train array<long>, words binary, wide boolean, lengths binary, ids binary"
+    "train array<long>, words binary, wide boolean, lengths binary, ids binary, vocabulary long"
 )
 
 
@@ -72,6 +68,10 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.diff(bounds), places, words
 
 
+def _kind_of_id(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 65_536 else "<u4"
+
+
 def _chunk(number: int, doc_ids: list, held: list[bool], texts: pa.Array, tokenizer: str) -> pa.RecordBatch:
     sizes, places, names = split_words(texts)
     sizes = (sizes + 1).astype(np.int32)
@@ -79,8 +79,10 @@ def _chunk(number: int, doc_ids: list, held: list[bool], texts: pa.Array, tokeni
     is_word = np.ones(len(used), bool)
     is_word[np.cumsum(sizes) - 1] = False
     used[is_word] = places + 1  # the end of a text is word 0
-    known = ChunkTokenizer.of(tokenizer).learn(names)
-    raw = [np.array([END_ID], "<u4").tobytes(), *map(known.__getitem__, names)]
+    own = ChunkTokenizer.of(tokenizer)
+    known = own.learn(names)
+    # the end of a text is an id of its own, behind the tokenizer's
+    raw = [np.array([own.size], "<u4").tobytes(), *map(known.__getitem__, names)]
     training = np.repeat(~np.array(held, bool), sizes)
     train = np.bincount(used[training], minlength=len(raw))
     keys = [END_KEY, *map(xxhash.xxh64_intdigest, names)]
@@ -95,7 +97,8 @@ def _chunk(number: int, doc_ids: list, held: list[bool], texts: pa.Array, tokeni
         "words": (used.astype(np.int32 if wide else np.uint16).tobytes(), pa.binary()),
         "wide": (wide, pa.bool_()),
         "lengths": (np.array([len(r) // 4 for r in raw], np.int32).tobytes(), pa.binary()),
-        "ids": (np.frombuffer(b"".join(raw), "<u4").astype(np.uint16).tobytes(), pa.binary()),
+        "ids": (np.frombuffer(b"".join(raw), "<u4").astype(_kind_of_id(own.size + 1)).tobytes(), pa.binary()),
+        "vocabulary": (own.size + 1, pa.int64()),
     }
     return pa.record_batch([pa.array([v], k) for v, k in row.values()], list(row))
 
@@ -188,7 +191,7 @@ class _Texts:
         per_word = lengths[self.words]
         begin = np.cumsum(per_word) - per_word
         place = np.arange(int(per_word.sum())) + np.repeat(starts[self.words] - begin, per_word)
-        self.ids = np.frombuffer(row["ids"], np.uint16)[place]
+        self.ids = np.frombuffer(row["ids"], _kind_of_id(row["vocabulary"]))[place]
         first = np.cumsum(self.sizes) - self.sizes
         self.id_sizes = np.add.reduceat(per_word, first) if len(first) else np.zeros(0, np.int64)
 
@@ -204,10 +207,12 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(VOCABULARY, np.int64)
+    total = np.zeros(0, np.int64)
     for row in _each(batches):
+        size = row["vocabulary"]
+        total = total if len(total) else np.zeros(size, np.int64)
         weight = np.repeat(np.array(row["train"], np.int64), np.frombuffer(row["lengths"], np.int32))
-        total += np.bincount(np.frombuffer(row["ids"], np.uint16), weight, VOCABULARY).astype(np.int64)
+        total += np.bincount(np.frombuffer(row["ids"], _kind_of_id(size)), weight, size).astype(np.int64)
     used = np.nonzero(total)[0]
     yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -260,8 +265,8 @@ def table(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.log((counts + PRIOR * alone) / (counts.sum(1, keepdims=True) + PRIOR))
 
 
-def _train_part(model: attention.Model, words: Vocabulary, rate: float, turn: int):
-    """Train a copy on this partition's share of windows; its weights, times the number of windows."""
+def _train_part(model: attention.Model, words: Vocabulary, rate: float, turn: int, turns: int):
+    """Train a copy on the round's windows of this partition; its weights, times the number of windows."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         kept, waiting = [], 0
@@ -269,7 +274,7 @@ def _train_part(model: attention.Model, words: Vocabulary, rate: float, turn: in
             texts = _Texts(row)
             tokens, sizes = texts.training(words.class_of[texts.ids])
             laid, at, _ = attention.windows(tokens, sizes, model.begin, model.pad)
-            at = at[(row["chunk"] + turn * 31) % WINDOW_SHARE :: WINDOW_SHARE]
+            at = at[turn::turns]
             kept.append(laid[at[:, None] + np.arange(attention.KEYS + 1)])
             waiting += len(at)
             if waiting >= 4096:
@@ -302,24 +307,24 @@ class LanguageModel:
     attention: attention.Model
 
 
-def fit(parts: DataFrame) -> LanguageModel:
-    """The model from all training texts of the chunks.
+def fit(parts: DataFrame, size: int, rates: tuple[float, ...] = RATES) -> LanguageModel:
+    """The model from all training texts of the chunks, whose ids are below `size`.
 
     What comes to the driver is bounded by the vocabulary, the pairs of classes and the weights.
     """
-    counted = map_arrow(parts.select("train", "lengths", "ids"), _count_ids, "id long, n long")
-    counts = np.zeros(VOCABULARY, np.int64)
+    counted = map_arrow(parts.select("train", "lengths", "ids", "vocabulary"), _count_ids, "id long, n long")
+    counts = np.zeros(max(size, OWN_CLASSES + BINS), np.int64)
     for row in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     words = vocabulary(counts)
-    needed = parts.select("chunk", "held", "sizes", "words", "wide", "lengths", "ids")
+    needed = parts.select("chunk", "held", "sizes", "words", "wide", "lengths", "ids", "vocabulary")
     pairs = np.zeros((words.n_classes + 1) * words.n_classes, np.int64)
     found = map_arrow(needed, _count_pairs(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     found = found.toArrow()
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     model = attention.Model(table(pairs, words.n_classes))
-    for turn in range(ROUNDS):
-        copies = map_arrow(needed, _train_part(model, words, RATES[turn], turn), "at long, value double, seen long")
+    for turn, rate in enumerate(rates):
+        copies = map_arrow(needed, _train_part(model, words, rate, turn, len(rates)), "at long, value double, seen long")
         averaged = copies.groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
         if averaged.num_rows:
             at = averaged.column("at").to_numpy()
@@ -356,20 +361,21 @@ def _score_part(model: LanguageModel, total: int, distinct: int, n_buckets: int)
     return run
 
 
-def score(docs: DataFrame, tokenizer: str) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str, rates: tuple[float, ...] = RATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of `docs`.
 
     Learns from texts whose CRC-32 of the doc_id's text, modulo 7, is not 2; a null doc_id is learnt
     from. Words are runs of other bytes than space and 0x09 to 0x0D, A-Z lower-cased, then an end.
     base_score: the sum of log10((c + 1) / (N + V + 1)) over words and end, by their counts c in the N
     training tokens, V of them distinct; words are told apart by 64-bit hashes. score: log10 of the
-    attention model's probability of the text's subword ids and an end. Null and empty texts have
+    attention model's probability of the text's subword ids and an end; it trains on every window of the
+    training texts, in as many rounds as there are `rates` (none: the pairs of classes alone). Null and empty texts have
     the end alone; repeated rows are scored (and learnt from) each; other columns are ignored; no rows
     give no rows, and without training rows all words are unknown.
     """
     parts = chunks(docs, tokenizer)
-    entries = parts.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
-    n_buckets = int(entries // BUCKET_ENTRIES) + 1
+    told = parts.agg(F.sum(F.size("keys")).alias("entries"), F.max("vocabulary").alias("size")).first()
+    n_buckets = (told["entries"] or 0) // BUCKET_ENTRIES + 1
     counts = word_counts(parts, n_buckets)
     sums = counts.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"),
@@ -377,7 +383,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     ).first()
     # At most the words of one chunk in a group.
     known = counts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("known"))
-    model = fit(parts)
+    model = fit(parts, told["size"] or 0, rates)
     rows = parts.drop("train").join(known, "chunk")
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

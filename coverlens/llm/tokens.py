@@ -26,7 +26,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}  # by part
+
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
         """The worker's own copy for a file."""

@@ -118,6 +118,39 @@ def test_scores_are_those_of_a_language_model(scored):
     assert all(r.score < 0 for r in scored) and -5.2 < per_word < -3.5
 
 
+def test_attention_tells_more_than_the_pairs_of_classes(spark, scored):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alone = lm.score(docs, TOKENIZER, rates=()).where("held_out").collect()
+    trained = {r.doc_id: r.score for r in scored}
+    words = sum(r.n_tokens for r in alone)
+    assert sum(trained[r.doc_id] - r.score for r in alone) / words > 0.1
+
+
+def test_every_window_of_training_texts_is_trained_on_once(monkeypatch):
+    m = model()
+    held = [False, True, False]
+    texts = [b"a b c " * 40, b"d e " * 30, b"f g h i " * 25]
+    batch = lm._chunk(5, [1, 2, 3], held, pa.array(texts, pa.binary()), TOKENIZER)
+    row = next(lm._each([batch]))
+    words = lm.vocabulary(np.bincount(lm._Texts(row).ids, minlength=row["vocabulary"]))
+    seen = []
+    monkeypatch.setattr(attention.Model, "train", lambda self, blocks, rate: [seen.extend(map(tuple, b)) for b in blocks] and 1)
+    for turn in range(3):
+        list(lm._train_part(m, words, 0.01, turn, 3)([batch]))
+    own = lm._Texts(row)
+    tokens, sizes = own.training(words.class_of[own.ids])
+    laid, at, _ = attention.windows(tokens, sizes, m.begin, m.pad)
+    assert sorted(seen) == sorted(map(tuple, laid[at[:, None] + np.arange(attention.KEYS + 1)]))
+
+
+def test_ids_beyond_16_bits():
+    assert lm._kind_of_id(65_536) == "<u2" and lm._kind_of_id(65_537) == "<u4"
+    row = next(lm._each([lm._chunk(0, [1], [False], pa.array([b"a b"], pa.binary()), TOKENIZER)]))
+    wide = np.frombuffer(row["ids"], "<u2").astype("<u4") + 70_000
+    texts = lm._Texts({**row, "ids": wide.tobytes(), "vocabulary": 200_000})
+    assert texts.ids.min() >= 70_000 and len(texts.ids) == 3
+
+
 def test_cases_of_tables(spark):
     rows = [(1, "Some text here", "x"), (1, "Some text here", "x"), (None, "some words", None), (2, None, "x"), (3, "", "x"), (4, "long " * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, keys string")
