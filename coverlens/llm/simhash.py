@@ -536,14 +536,16 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row of `docs` for each group of near copies, that of the smallest doc_id; columns stay.
 
     A null doc_id is the smallest; rows that share an id are told apart by their texts, and of equal
-    rows one stays. All other rows stay.
+    rows one stays. All other rows stay. Columns may have any names.
     """
     groups = similar_groups(docs, similarity)
     heads = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
     heads = written(heads.select("head.*"), "heads")
-    rows = docs.withColumn("_row_hash", F.xxhash64(text_bytes()))
-    same_id = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id"))
-    same = same_id & (F.col("d._row_hash") == F.col("h.row_hash"))
+    # the row is carried as one column, so that no name of its own can meet one added here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_bytes()).alias("hash"), row)
+    same = F.col("d.id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.hash") == F.col("h.row_hash"))
     kept = rows.alias("d").join(heads.alias("h"), same, "left_semi")
-    one = Window.partitionBy("doc_id", "_row_hash").orderBy("doc_id")
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    one = Window.partitionBy("id", "hash").orderBy("id")
+    kept = kept.withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -117,3 +117,14 @@ def test_sketches_differ_in_no_more_than_the_sets():
         two = np.unique(np.concatenate([one[n // 9 :], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
         bits = [np.frombuffer(simhash.sketch(x), np.uint8) for x in (one, two)]
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(one, two))
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    names = "doc_id long, text string, _row_hash string, _nth string, `a.b` int, id int, hash int, nth int, row string"
+    rows = [(2, text, "keep", "me", 7, 1, 2, 3, "x"), (1, text, "keep", "me", 8, 4, 5, 6, "y"), (3, None, "k", "n", 9, 7, 8, 9, None)]
+    docs = spark.createDataFrame(rows, names)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows[1:]))
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
