@@ -25,8 +25,6 @@ SHORT_WORDS = 11
 #: Overlaps have so many words (or all of a shorter item) of which so many in a hundred agree.
 MIN_WORDS = 13
 MIN_SHARE = 80
-#: Words looked at on each side of a hit.
-AROUND = 64
 #: Seeds up to this number (28 bytes each) are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 #: Keys of leaking documents up to this number (16 bytes each) are broadcast, else joined by a shuffle.
@@ -111,13 +109,13 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["seed", "item_id", "item_at"]
+    names = ["seed", "item_id", "item_at", "n_item"]
     for batch in batches:
         for item_id, raw in zip(values(batch.column("item_id")), values(batch.column("item_words")), strict=True):
             words = np.frombuffer(raw, np.uint64)
             for mask in _masks(len(words)):
                 found = seeds(words, mask).view(np.int64)
-                columns = [found, np.full(len(found), item_id), np.arange(len(found))]
+                columns = [found, np.full(len(found), item_id), np.arange(len(found)), np.full(len(found), len(words))]
                 yield pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in columns], names)
 
 
@@ -127,10 +125,11 @@ def _masks(n_words: int) -> list[int]:
     return long + [m for m in range(LONG_MASKS, len(MASKS)) if n_words < SHORT_WORDS]
 
 
-def _hits_of(bits: np.ndarray, shift: int, exact: np.ndarray | None, used: list[int]):
+def _hits_of(bits: np.ndarray, shift: int, exact: np.ndarray | None, used: list[int], around: int):
     """Documents -> their stretches around possible hits, with the hits' seeds and places.
 
-    bits: the filter; exact: all seeds, sorted, if there are not too many; used: the items' masks.
+    bits: the filter; exact: all seeds, sorted, if there are not too many; used: the items' masks;
+    around: the words of the longest item, so that whatever an item is laid along is in one stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +152,15 @@ def _hits_of(bits: np.ndarray, shift: int, exact: np.ndarray | None, used: list[
                 at, seed, text = (np.concatenate([f[i] for f in found]) for i in range(3))
                 order = np.lexsort((at, text))
                 at, seed, text = at[order], seed[order], text[order]
-                apart = np.nonzero((np.diff(text) > 0) | (np.diff(at) > AROUND))[0] + 1
+                apart = np.nonzero((np.diff(text) > 0) | (np.diff(at) > around))[0] + 1
                 ids, hashes = values(batch.column("doc_id")), values(batch.column("row_hash"))
                 rows = []
                 for low, high in zip([0, *apart], [*apart, len(at)], strict=True):
                     if low == high:
                         continue
                     k = int(text[low])
-                    start = max(int(bounds[k]), int(at[low]) - AROUND)
-                    end = min(int(bounds[k + 1]), int(at[high - 1]) + AROUND)
+                    start = max(int(bounds[k]), int(at[low]) - around)
+                    end = min(int(bounds[k + 1]), int(at[high - 1]) + around)
                     part = words[start:end].tobytes()
                     rows.append((ids[k], hashes[k], start - int(bounds[k]), part, seed[low:high].view(np.int64), at[low:high] - start))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -227,28 +226,35 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body"))
     tests = written(map_arrow(tests.distinct(), _item_words, "item_id long, item_words binary"), "items")
     tests = tests.where(F.length("item_words") > 0)
-    all_seeds = map_arrow(tests, _item_seeds, "seed long, item_id long, item_at long")
+    all_seeds = map_arrow(tests, _item_seeds, "seed long, item_id long, item_at long, n_item long")
     all_seeds = written(all_seeds, "seeds")
     n_seeds = all_seeds.count()
     bits, shift = _filter(all_seeds, n_seeds)
     exact = None
     if 0 < n_seeds <= EXACT_SEEDS:
         exact = np.unique(all_seeds.select("seed").toArrow().column("seed").to_numpy().view(np.uint64))
+    size = F.length("item_words") / 8
+    sizes = tests.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
     # The short masks are laid only if an item has them.
-    short = tests.where(F.length("item_words") < 8 * SHORT_WORDS).limit(1).count()
-    used = list(range(len(MASKS) if short else LONG_MASKS))
+    used = list(range(len(MASKS) if (sizes["least"] or SHORT_WORDS) < SHORT_WORDS else LONG_MASKS))
+    around = int(sizes["most"] or 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     schema = "doc_id long, row_hash long, start long, words binary, seeds array<long>, places array<long>"
     texts = texts.withColumn("row_hash", F.xxhash64("body"))
-    near = written(map_arrow(texts, _hits_of(bits, shift, exact, used), schema), "stretches")
+    near = written(map_arrow(texts, _hits_of(bits, shift, exact, used, around), schema), "stretches")
     hits = near.select("doc_id", "row_hash", "start", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("doc_id", "row_hash", "start", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     joined = hits.join(F.broadcast(all_seeds) if n_seeds <= BROADCAST_SEEDS else all_seeds, "seed")
     shift_of = (F.col("place") - F.col("item_at")).alias("shift")
-    aligned = joined.select("doc_id", "row_hash", "start", "item_id", shift_of).distinct()
+    aligned = joined.select("doc_id", "row_hash", "start", "item_id", "n_item", shift_of).distinct()
     places = near.select("doc_id", "row_hash", "start", "words").distinct().alias("n")
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("doc_id", "row_hash", "start")]
-    rows = aligned.alias("a").join(places, same[0] & same[1] & same[2]).select("a.*", "n.words")
+    rows = aligned.alias("a").join(places, same[0] & same[1] & same[2])
+    # Of the stretch, only what the item lies along.
+    begin, before = F.greatest("shift", F.lit(0)), F.least("shift", F.lit(0))
+    along = F.substring(F.col("n.words"), (begin * 8 + 1).cast("int"), ((F.col("n_item") + before) * 8).cast("int"))
+    start = (F.col("a.start") + begin).alias("start")
+    rows = rows.select("a.doc_id", "a.row_hash", "item_id", start, before.alias("shift"), along.alias("words"))
     rows = rows.join(tests, "item_id")
     schema = "doc_id long, row_hash long, item_id long, doc_start long, item_start long, n_words long, n_same long"
     return map_arrow(rows, _verify, schema)

@@ -84,6 +84,36 @@ def test_against_sliding(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(repr((i, t)) for i, t, _ in rows if (i, t) not in flagged)
 
 
+def test_long_items_with_replaced_passages(spark):
+    rng = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    items, rows, expected = [], [], {}
+    for k, n in enumerate([100, 150, 240, 400, 600, 1000]):
+        item = rng.choices(vocabulary, k=n)
+        items.append((k, " ".join(item)))
+        for part, out in enumerate([n // 6, n // 5]):  # adjacent words, all replaced
+            at = rng.randint(n // 4, n // 2)
+            leak = [*item[:at], *["other"] * out, *item[at + out :]]
+            before = rng.choices(vocabulary, k=rng.randint(0, 1500))
+            rows.append((10 * k + part, " ".join([*before, *leak, *rng.choices(vocabulary, k=300)])))
+            expected[10 * k + part, k] = (len(before), 0, n, n - out)
+        # too many: what is left is the longer of two overlaps
+        rows.append((10 * k + 2, " ".join([*item[: n // 4], *["other"] * (n // 2), *item[n // 4 + n // 2 :]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = {(r.doc_id, r.item_id): r for r in dc.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for key, (doc_start, item_start, n, same) in expected.items():
+        r = found[key]
+        assert (r.doc_start, r.item_start, r.n_words, r.n_same) == (doc_start, item_start, n, same), (key, r)
+    assert set(found) == set(expected) | {(10 * k + 2, k) for k in range(6)}
+    texts, tests = dict(rows), dict(items)
+    for (doc_id, item_id), r in found.items():
+        a, b = texts[doc_id].split(), tests[item_id].split()
+        shift = r.doc_start - r.item_start
+        same = np.array([a[i + shift] == b[i] for i in range(max(0, -shift), min(len(b), len(a) - shift))])
+        begin, end = dc.longest_overlap(same)
+        assert (end - begin, int(same[begin:end].sum())) == (r.n_words, r.n_same)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
