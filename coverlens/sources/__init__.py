@@ -1,7 +1,7 @@
 """Reading, converting and writing."""
 
 from coverlens.sources.ingest import ConversionFailed, convert_csv, ensure_parquet, pinned_schema
-from coverlens.sources.parquet import describe, load, with_row_position
+from coverlens.sources.parquet import describe, describe_stored, load, with_row_position
 from coverlens.sources.records import read_cut
 from coverlens.sources.sinks import write_csv_report, write_ordered, write_parquet
 
@@ -9,6 +9,7 @@ __all__ = [
     "ConversionFailed",
     "convert_csv",
     "describe",
+    "describe_stored",
     "ensure_parquet",
     "load",
     "pinned_schema",

@@ -45,9 +45,14 @@ def load(spark: SparkSession, path: str, view: str | None = None, position: str
     return df
 
 
+def _counts(df: DataFrame) -> DataFrame:
+    """One row: how many rows carry a non-NULL value, for each column."""
+    return df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)])
+
+
 def describe(df: DataFrame) -> DataFrame:
     """The schema as a table, with how many rows carry a non-NULL value."""
-    counted = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)])
+    counted = _counts(df)
     listing = F.array(
         *[
             F.struct(
@@ -60,3 +65,28 @@ def describe(df: DataFrame) -> DataFrame:
         ]
     )
     return counted.select(F.explode(listing).alias("c")).select("c.*")
+
+
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """`_counts` of a stored table, from the statistics of its row groups.
+
+    Spark takes them from the files' footers where its aggregate is pushed to the Parquet reader,
+    which a session of its own is set to do.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return _counts(own.read.parquet(path))
+
+
+def describe_stored(spark: SparkSession, path: str) -> DataFrame:
+    """`describe` of a stored table without reading its columns; they are read where a footer lacks the counts."""
+    stored = spark.read.parquet(path)
+    try:
+        counted = footer_counts(spark, path).first()
+    except Exception as error:  # noqa: BLE001 - Spark names the missing statistics in the text alone
+        if "parquet.aggregatePushdown" not in str(error):
+            raise
+        return describe(stored)
+    rows = [(i + 1, f.name, f.dataType.simpleString(), counted[i]) for i, f in enumerate(stored.schema)]
+    return spark.createDataFrame(rows, "ordinal long, column_name string, column_type string, non_null_rows long")
