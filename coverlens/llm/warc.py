@@ -86,11 +86,17 @@ def dictionary_frame(dictionary: zstd.ZstdCompressionDict) -> bytes:
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frames of one archive, the dictionary's first."""
-    compressor = None
+    """The frames of one archive, the dictionary's first. A mark stands before the rows it speaks of."""
+    compressor = spoken_of = newest = None
     for batch in batches:
-        rows = [values(batch.column(c)) for c in ("page_id", "url", "payload", "digest", "refers_to")]
-        records = [record(*row) for row in zip(*rows, strict=True)]
+        columns = [values(batch.column(c)) for c in ("key", "digest", "n", "mark", "newest", "page_id", "url", "payload")]
+        records = []
+        for key, digest, n, mark, found, page_id, url, payload in zip(*columns, strict=True):
+            if mark:
+                spoken_of, newest = (key, digest, n), found
+                continue
+            refers_to = newest if spoken_of == (key, digest, n) and page_id != newest else None
+            records.append(record(page_id, url, payload, digest, refers_to))
         frames = []
         if compressor is None and records:
             dictionary = train(records)
@@ -106,22 +112,28 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, revis
     Of rows with equal payloads of at least `revisit_bytes`, those of the largest page_id become
     responses, the others revisit it; null ids among them revisit too, unless all are null. A null
     html is an empty payload, a null url leaves its header out. Other columns are ignored.
+
+    Payloads are shuffled once: what is equal is found on a table without them, and its marks
+    are dealt to the archives in the same exchange, in front of their rows. Rows alike in id, url and payload share an archive.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("key", F.xxhash64("page_id", "url"))
+    narrow = written(rows.select("key", "page_id", "digest", "n"), "digests")
+    large = narrow.where(F.col("n") >= revisit_bytes)
     # Map-side maxima first: a group of copies of any size is a row per task.
-    equal = rows.where(F.col("n") >= revisit_bytes).groupBy("digest", "n")
-    equal = equal.agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    equal = equal.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    marked = rows.withColumn("salt", salt).join(equal, ["digest", "n", "salt"], "left")
-    is_newest = F.col("page_id").eqNullSafe(F.col("newest"))
-    marked = marked.withColumn("refers_to", F.when(~is_newest, F.col("newest")))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    dealt = marked.select("page_id", "url", "payload", "digest", "refers_to")
-    dealt = dealt.repartition(int(total // archive_bytes) + 1, F.xxhash64("page_id", "digest"))
-    frames = map_arrow(dealt.sortWithinPartitions("page_id", "digest", "url"), _archives, "frame binary")
+    equal = large.groupBy("digest", "n").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies"))
+    equal = equal.where("copies > 1").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    large = large.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    # The newest id depends on the payload alone, so one row stands for equal keys, colliding ones too.
+    marks = large.join(equal, ["digest", "n", "salt"]).select("key", "digest", "n", "newest").distinct()
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = rows.withColumn("newest", F.lit(None).cast("long")).withColumn("mark", F.lit(False))
+    dealt = rows.unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    by = ("key", "digest", "n")
+    dealt = dealt.repartition(int(total // archive_bytes) + 1, *by).sortWithinPartitions(*by, F.desc("mark"))
+    frames = map_arrow(dealt, _archives, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
