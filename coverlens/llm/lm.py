@@ -17,14 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.llm import attention
 from coverlens.llm.common import map_arrow, ship, slices, text_bytes, values, written
-from coverlens.llm.tokens import ChunkTokenizer
+from coverlens.llm.tokens import ChunkTokenizer, split_words
 
 HOLD_OUT = (7, 2)
 #: Text bytes of a chunk, beyond one text.
@@ -49,25 +48,6 @@ _CHUNK = (
 )
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(how many words each text has, the words as places in the dictionary, the dictionary)."""
-    # The bytes are taken as they are: only ASCII is lower-cased and split at.
-    as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(as_text))
-    bounds = lists.offsets.to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    places = coded.indices.to_numpy()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in words:  # where a text begins or ends with white space
-        empty = words.index(b"")
-        real = places != empty
-        bounds = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]
-        places = places[real]
-        places = places - (places > empty)
-        del words[empty]
-    return np.diff(bounds), places, words
-
-
 def _kind_of_id(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 65_536 else "<u4"
 

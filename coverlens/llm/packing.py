@@ -44,7 +44,7 @@ def pieces(
             for batch in slices(whole, "body", _TEXT_BYTES):
                 out: list[list] = [[] for _ in range(6)]
                 for doc_id, ids in zip(
-                    values(batch.column("doc_id")), encoder.encode(values(batch.column("body"))), strict=True
+                    values(batch.column("doc_id")), encoder.encode(batch.column("body")), strict=True
                 ):
                     ids = memoryview(ids + end)
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -4,16 +4,58 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
-from struct import pack
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts of chunks remembered by one worker (some 200 bytes each); beyond it the memory starts anew.
 #: Results do not depend on it.
 CACHE_PARTS = 800_000
 _SIGNS = b".,;:!?"
+#: Stands between parts that are encoded in one call: tokenizers cut texts at it before anything else.
+_BETWEEN = "<|endoftext|>"
+_PARTS_A_CALL = 4000
 
 _LOADED: dict[str, ChunkTokenizer] = {}
 
 
+def _split(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    # The bytes are taken as they are: only ASCII is split at and, if asked for, lower-cased.
+    as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(as_text) if lower else as_text)
+    bounds = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    places, words = coded.indices.to_numpy(), coded.dictionary
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # where a text begins or ends with white space
+        real = places != empty
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]
+        places = places[real]
+        places = places - (places > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+    return np.diff(bounds), places, words
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(how many words each text has, the words as places in the dictionary, the dictionary).
+
+    Words are in lower case (ASCII).
+    """
+    n_words, places, words = _split(texts, lower=True)
+    return n_words, places, words.cast(pa.binary()).to_pylist()
+
+
+def _cores(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Chunks as lower-case cores and the signs behind them, as ChunkTokenizer._parts tells."""
+    low = pc.ascii_lower(chunks)
+    core = pc.ascii_rtrim(low, characters=_SIGNS.decode())
+    special = pc.match_substring(chunks, "<|")
+    apart = pc.and_not(pc.match_substring_regex(core, r"[0-9a-z]\z"), special)
+    tail = pc.replace_substring_regex(pc.if_else(apart, low, ""), r"^.*[^.,;:!?]", "")
+    return pc.if_else(apart, core, pc.if_else(special, chunks, low)), tail
+
+
 class ChunkTokenizer:
     """Ids of white-space chunks, as little-endian unsigned 32-bit integers in bytes.
 
@@ -27,6 +69,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.between = self.tokenizer.token_to_id(_BETWEEN)
         self.known: dict[bytes, bytes] = {}  # by part
 
     @classmethod
@@ -50,22 +93,54 @@ class ChunkTokenizer:
             return core, low[len(core) :]
         return low, b""
 
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part by the tokenizer, many parts a call where its file has the separator."""
+        texts = [part.decode("utf-8", "replace") for part in parts]
+        if self.between is None or any("<|" in text for text in texts):
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(one.ids, "<u4").tobytes() for one in found]
+        (found,) = self.tokenizer.encode_batch_fast([_BETWEEN.join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = 4 * np.flatnonzero(ids == self.between)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        """Remember the ids of all these parts."""
+        known = self.known
+        new = parts.difference(known)
+        if len(known) + len(new) > CACHE_PARTS:
+            known.clear()
+            new = parts
+        # Parts that may name a special token are encoded in calls of their own.
+        named = {part for part in new if b"<|" in part}
+        for own in (list(new - named), list(named)):
+            for at in range(0, len(own), _PARTS_A_CALL):
+                some = own[at : at + _PARTS_A_CALL]
+                known.update(zip(some, self._encode(some), strict=True))
+
     def learn(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of every chunk."""
         parts = {chunk: self._parts(chunk) for chunk in chunks}
-        every = {part for both in parts.values() for part in both}
-        new = list(every.difference(self.known))
-        if len(self.known) + len(new) > CACHE_PARTS:
-            self.known.clear()
-            new = list(every)
-        texts = [part.decode("utf-8", "replace") for part in new]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[part] = pack(f"<{len(found)}I", *found.ids)
-        known = self.known
-        return {chunk: known[core] + known[tail] for chunk, (core, tail) in parts.items()}
+        self._learn({part for both in parts.values() for part in both})
+        return {chunk: self.known[core] + self.known[tail] for chunk, (core, tail) in parts.items()}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """The ids of each text."""
-        chunks = [text.split() for text in texts]
-        known = self.learn(set().union(*chunks))
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        n_words, places, chunks = _split(texts, lower=False)
+        cores, tails = (part.dictionary_encode() for part in _cores(chunks))
+        names = [name for part in (cores, tails) for name in part.dictionary.cast(pa.binary()).to_pylist()]
+        self._learn(set(names))
+        raw = list(map(self.known.__getitem__, names))
+        sizes = np.array([len(ids) // 4 for ids in raw], np.int64)
+        # Every chunk is two parts, the second one mostly empty.
+        both = np.stack([cores.indices.to_numpy(), tails.indices.to_numpy() + len(cores.dictionary)], axis=1)
+        used = both[places].ravel()
+        own = sizes[used]
+        ends = np.cumsum(own)
+        # Part by part, where its ids begin among all names', less where they begin in the texts.
+        begins = np.repeat((np.cumsum(sizes) - sizes)[used] - (ends - own), own)
+        ids = np.frombuffer(b"".join(raw), "<u4")[begins + np.arange(len(begins))]
+        bounds = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(n_words)])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
