@@ -45,6 +45,10 @@ LEAST_SEEDS = 5
 LEAST_SCORE = 0.8
 #: An instance that nothing is known of weighs so much against a pattern.
 DOUBT = 0.1
+#: Matches of a text are placed, and candidates compared with spans, in blocks of so many; characters
+#: are looked up in chunks of so many. The work of one text stays linear in its matches up to millions.
+BLOCK = 256
+CHUNK = 1024
 #: Map side: spans found by contexts up to this number are broadcast to the texts, else shuffled.
 BROADCAST_SPANS = 500_000
 
@@ -61,20 +65,71 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+_SPANS = "array<struct<start:long,end:long,value:string>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is evaluated once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _in_blocks(items: Column, use) -> Column:
+    """What `use` makes of each BLOCK items of an array, as an array."""
+    none = F.array().cast("array<int>")
+    firsts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(none)
+    return F.transform(firsts, lambda first: use(F.slice(items, first, F.lit(BLOCK))))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as (start, end, value), in code points, end exclusive."""
+    """All matches of a pattern as (start, end, value), in code points, end exclusive.
+
+    Starts are running sums of the lengths of gaps and matches: within blocks first, then over blocks.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.array().cast("array<struct<start:long,end:long,value:string>>")
+    pair = lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), value.alias("value"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, pair)
+    zero, empty = F.lit(0).cast("long"), F.array().cast(_SPANS)
 
     def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
+        start = done["at"] + pair["gap"]
         end = start + F.length(pair["value"])
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.aggregate(pairs, begin, step, lambda done: done["spans"])
+    def placed(block: Column) -> Column:
+        return F.aggregate(block, F.struct(zero.alias("at"), empty.alias("spans")), step)
+
+    def before(done: Column, block: Column) -> Column:
+        offsets = F.concat(done["offsets"], F.array(done["at"]))
+        return F.struct((done["at"] + block["at"]).alias("at"), offsets.alias("offsets"))
+
+    def moved(block: Column, by: Column) -> Column:
+        span = lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        return F.transform(block["spans"], span)
+
+    def joined(blocks: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("offsets"))
+        offsets = F.aggregate(blocks, begin, before, lambda done: done["offsets"])
+        return F.flatten(F.zip_with(blocks, offsets, moved))
+
+    return _bound(_bound(pairs, lambda p: _in_blocks(p, placed)), joined)
+
+
+def _apart(candidates: Column, spans: Column) -> Column:
+    """The candidates, in order of start, that overlap no span."""
+
+    def kept(block: Column, every: Column) -> Column:
+        begin, end = F.element_at(block, 1)["start"], F.element_at(block, -1)["end"]
+        near = F.filter(every, lambda s: (s["start"] < end) & (begin < s["end"]))
+        free = lambda few: F.filter(
+            block, lambda c: ~F.exists(few, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+        )
+        return _bound(near, free)
+
+    def of(every: Column) -> Column:
+        return _bound(candidates, lambda own: F.flatten(_in_blocks(own, lambda block: _bound(block, lambda b: kept(b, every)))))
+
+    return _bound(spans, of)
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -86,47 +141,53 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(worth, valid).otherwise(none)
 
 
+def _contexts(chunks: Column, start: Column) -> Column:
+    """The lower-case words before a place: the last, and the last two, of the characters before it."""
+    begin = F.greatest(F.lit(0), start - CONTEXT_CHARS).cast("int")
+    first = F.floor(begin / CHUNK).cast("int")
+    two = F.concat(F.get(chunks, first), F.coalesce(F.get(chunks, first + 1), F.lit("")))
+    before = F.substring(two, begin - first * CHUNK + 1, start.cast("int") - begin)
+    words = F.filter(F.split(F.lower(before), rf"[{_WS}]+"), lambda w: w != "")
+    picked = [F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in CONTEXT_WORDS]
+    return F.filter(F.array(*picked), lambda w: w.isNotNull())
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, body, the four kinds, candidates): spans of every text, in order of start.
+    """(doc_id, row_hash, spans): of every text, its spans (kind, start, end, value, contexts).
 
-    Candidates are identifiers that touch no span of a kind.
+    Kinds in the order of KINDS, each in order of start; then, with a null kind, candidates: identifiers
+    that touch no span of a kind. Texts are read once and not carried on.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
+    body = F.col("body")
     rows = rows.withColumn("row_hash", F.xxhash64("body"))
-    rows = rows.select("*", *[_base(F.col("body"), kind).alias(kind) for kind in KINDS])
-    none = F.array().cast("array<struct<start:long,end:long,value:string>>")
-    spans = F.concat(*KINDS)
-    apart = lambda c: ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    other = F.filter(_located(F.col("body"), CANDIDATE), apart)
-    return rows.withColumn("candidates", F.when(F.col("body").rlike("[0-9@]"), other).otherwise(none))
-
-
-def _contexts(body: Column, start: Column) -> Column:
-    """The lower-case words before a place: the last, and the last two, of the characters before it."""
-    before = F.substring(body, F.greatest(F.lit(1), start - CONTEXT_CHARS + 1), F.least(start, F.lit(CONTEXT_CHARS).cast("long")))
-    words = F.filter(F.split(F.lower(before), rf"[{_WS}]+"), lambda w: w != "")
-    picked = [F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in CONTEXT_WORDS]
-    return F.filter(F.array(*picked), lambda w: w.isNotNull())
+    rows = rows.select("*", *[_base(body, kind).alias(kind) for kind in KINDS])
+    none = F.array().cast(_SPANS)
+    other = F.when(body.rlike("[0-9@]"), _apart(_located(body, CANDIDATE), F.concat(*KINDS))).otherwise(none)
+    rows = rows.withColumn("candidates", other)
+    kinds = {**{kind: F.lit(kind) for kind in KINDS}, "candidates": F.lit(None).cast("string")}
+    named = lambda column, kind: F.transform(column, lambda s: F.struct(kind.alias("kind"), s.alias("s")))
+    every = F.concat(*[named(column, kind) for column, kind in kinds.items()])
+
+    def told(chunks: Column) -> Column:
+        return F.transform(
+            every,
+            lambda o: F.struct(
+                o["kind"].alias("kind"),
+                o["s"]["start"].alias("start"),
+                o["s"]["end"].alias("end"),
+                F.lower(o["s"]["value"]).alias("value"),
+                _contexts(chunks, o["s"]["start"]).alias("contexts"),
+            ),
+        )
+
+    chunks = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return rows.select("doc_id", "row_hash", _bound(chunks, told).alias("spans"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
     """(doc_id, row_hash, start, end, kind, value, contexts): seeds, and candidates with a null kind."""
-
-    def named(column: str, kind: Column) -> Column:
-        return F.transform(column, lambda s: F.struct(kind.alias("kind"), s.alias("s")))
-
-    parts = [named(kind, F.lit(kind)) for kind in KINDS]
-    parts.append(named("candidates", F.lit(None).cast("string")))
-    rows = found.select("doc_id", "row_hash", "body", F.explode(F.concat(*parts)).alias("o"))
-    return rows.select(
-        "doc_id",
-        "row_hash",
-        F.col("o.s.start").alias("start"),
-        F.col("o.s.end").alias("end"),
-        F.col("o.kind").alias("kind"),
-        F.lower("o.s.value").alias("value"),
-        _contexts(F.col("body"), F.col("o.s.start")).alias("contexts"),
-    )
+    return found.select("doc_id", "row_hash", F.explode("spans").alias("o")).select("doc_id", "row_hash", "o.*")
 
 
 def discovered(seen: DataFrame) -> DataFrame:
@@ -171,14 +232,18 @@ def spans(docs: DataFrame) -> DataFrame:
     order of KINDS, then starts; code points, end exclusive. Null texts are empty; rows with equal id
     and text have equal spans; null ids stay; other columns are ignored; no rows give no rows.
     """
-    marked = located(docs)
-    kind_of = lambda kind: F.transform(
-        kind, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"))
+    marked = written(located(docs), "located")
+    place = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
+    named = F.filter("spans", lambda s: s["kind"].isNotNull())
+    base = marked.select(
+        "doc_id",
+        "row_hash",
+        F.transform(
+            named, lambda s: F.struct(place[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"))
+        ).alias("base"),
     )
-    base = marked.select("doc_id", "row_hash", F.concat(*map(kind_of, KINDS)).alias("base"))
-    base = written(base, "base")
     # Repeated rows would count an occurrence twice, but the graph counts values, not occurrences.
-    seen = written(occurrences(marked), "occurrences")
+    seen = occurrences(marked)
     new = seen.where("kind is null").drop("kind").join(discovered(seen), "value")
     number = reduce(lambda c, k: F.when(F.col("kind") == k, KINDS.index(k)).otherwise(c), KINDS, F.lit(None).cast("int"))
     new = new.groupBy("doc_id", "row_hash").agg(

@@ -65,6 +65,14 @@ def test_long_texts_take_linear_time(spark):
     check(spark, rows)
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a block holds, their places near the borders of chunks, and candidates between them."""
+    rng = random.Random(8)
+    words = ["a@b.cd", "10.1.2.3", "+1 555 010 9999", "é😀", "id-12345", "4111111111111111", "word"]
+    mixed = " ".join(rng.choice(words) for _ in range(3000))
+    check(spark, [(1, mixed), (2, "x@y.zz " * 50_000), (3, "".join(f"{i}0000 " for i in range(20_000)))])
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rng = random.Random(1)
     rows = []
