@@ -69,7 +69,10 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.between = self.tokenizer.token_to_id(_BETWEEN)
+        # Only a token that takes nothing from its neighbours can stand between parts.
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        plain = [k for k, t in added if t.content == _BETWEEN and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between = plain[0] if plain else None
         self.known: dict[bytes, bytes] = {}  # by part
 
     @classmethod
