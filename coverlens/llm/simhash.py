@@ -7,9 +7,12 @@ fingerprints at most `reach` bits apart have distances to the vantage point that
 farther than `radius - reach`: such a pair meets in at least one shard. A shard is searched the same
 way, with a tree of its own, down to blocks small enough to compare.
 
-Near copies by similarity (`similar_groups`) are exact: two sets of shingles with a Jaccard similarity of
-t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order that is the same for
-all. Rare shingles come first, so that few sets meet; all pairs that meet are compared in full.
+Near copies by similarity (`similar_groups`) take the components of the fingerprints first: each one's
+texts are compared in full, and those at the similarity are linked. Texts as similar may have
+fingerprints farther apart, so the rest is found by an exact way: two sets of shingles with a Jaccard
+similarity of t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order that is
+the same for all. Rare shingles come first, so that few sets meet; of those that meet, all pairs that
+are not in one component by then are compared in full.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ _BLOCK = 512
 _STEP = 255 * 256
 _PAIRS = 1_000_000
 _TEXT_BYTES = 16_000_000
-_MARKED = "doc_id long, row_hash long, node long, size long, sketch binary"
+_MARKED = "doc_id long, row_hash long, fp long, node long, size long, sketch binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -285,6 +288,12 @@ def links(
     return found.distinct() if every_pair else found
 
 
+def _rooted(points: DataFrame, reach: int) -> DataFrame:
+    """Distinct fingerprints `fp` with a column `root`, the same for all of a component."""
+    joined = components(links(points.select("fp"), reach)).toDF("fp", "root")
+    return points.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(
     docs: DataFrame, size: int = SHINGLE_WORDS, reach: int = REACH, seed: int = SEED
 ) -> DataFrame:
@@ -298,8 +307,7 @@ def near_copies(
     """
     marked = written(fingerprints(docs, size, seed), "fingerprints")
     points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    joined = components(links(points.select("fp"), reach)).toDF("fp", "root")
-    rooted = points.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(points, reach)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     # One row per fingerprint meets its documents: a fingerprint with many is split by adaptive execution.
@@ -326,13 +334,17 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> the hash of each one's shingles, their number and sketch; those with the same ones are one node."""
-    for batch in batches:
-        rows = [(_node(s), len(s), sketch(s)) for s in map(shingle_set, values(batch.column("body")))]
-        nodes, sizes, sketches = zip(*rows, strict=True) if rows else ((), (), ())
-        arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-        names = ["doc_id", "row_hash", "node", "size", "sketch"]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), *arrays], names)
+    """Texts -> fingerprint, hash of the five-word shingles, their number and sketch; those with the same ones are one node."""
+    for whole in batches:
+        for batch in slices(whole, "body", _TEXT_BYTES):
+            texts = values(batch.column("body"))
+            points = [fingerprint(text) for text in texts]
+            rows = [(_node(s), len(s), sketch(s)) for s in map(shingle_set, texts)]
+            nodes, sizes, sketches = zip(*rows, strict=True)
+            long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (points, nodes)]
+            arrays = [*long, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            names = ["doc_id", "row_hash", "fp", "node", "size", "sketch"]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), *arrays], names)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,32 +483,58 @@ def _ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs
 
 
-def _similar_links(meetings: DataFrame, marked: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+def fingerprint_meetings(marked: DataFrame, reach: int = REACH) -> DataFrame:
+    """(meeting, node, size): the nodes whose fingerprints are in one component, where there are several."""
+    points = written(marked.select("fp").distinct(), "points")
+    rooted = _rooted(points, reach).select("fp", F.col("root").alias("meeting"))
+    # One row per fingerprint meets its nodes: a fingerprint with many is split by adaptive execution.
+    nodes = marked.select("fp", "node", "size").distinct()
+    meetings = written(nodes.join(rooted, "fp").select("meeting", "node", "size").distinct(), "meetings")
+    several = meetings.groupBy("meeting").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return meetings.join(several.where("low < high").select("meeting"), "meeting", "left_semi")
+
+
+def prefix_meetings(texts: DataFrame, marked: DataFrame, similarity: Fraction) -> DataFrame:
+    """(meeting, node, size): the nodes that share a first shingle, so that all pairs at the similarity meet."""
+    total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
+    # A word has some six bytes; of so many shingles that share comes first.
+    parts = max(24, int(total / 6 * (1 - similarity) / PREFIX_ROWS))
+    run = _dealt_prefixes(*_common(texts, total), similarity, parts)
+    dealt = map_arrow(texts.select("body"), run, "part long, shingles binary, nodes binary")
+    meetings = dealt.groupBy("part").applyInArrow(_meetings, "meeting long, node long").distinct()
+    return meetings.join(marked.select("node", "size").distinct(), "node").select("meeting", "node", "size")
+
+
+def _similar_links(first: DataFrame, meetings: DataFrame, marked: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
     """(node, root) of the components of all pairs that meet and have the similarity.
 
-    Pairs that are in one component already are not compared. So in each of a few rounds the members of
-    a meeting are compared with one of them only; that leaves few pairs, even of a large group of copies.
+    Pairs that are in one component already are not compared. So members of the meetings of `first` are
+    compared with one of them only, and members of the others as well in each of a few rounds; that
+    leaves few pairs, even of a large group of copies, which are compared each.
     """
+    top, bottom = F.lit(similarity.numerator), F.lit(similarity.denominator)
     sketches = marked.select("node", "size", "sketch").dropDuplicates(["node"])
     found = joined = None
-    for turn in range(STAR_ROUNDS + 1):
-        rooted = meetings.withColumn("root", F.col("node"))
+    for turn in range(STAR_ROUNDS + 2):
+        rooted = (meetings if turn else first).withColumn("root", F.col("node"))
         if joined is not None:
             rooted = meetings.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
             apart = rooted.groupBy("meeting").agg(F.min("root").alias("low"), F.max("root").alias("high"))
             rooted = rooted.join(apart.where("low < high").select("meeting"), "meeting", "left_semi")
-            rooted = written(rooted.select("meeting", "node", "root"), "meetings")
+            rooted = written(rooted.select("meeting", "node", "size", "root"), "meetings")
             if not rooted.limit(1).count():
                 break
-        if turn < STAR_ROUNDS:
-            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("head")
-            others = rooted.groupBy("meeting").agg(head)
-            others = others.select("meeting", F.col("head.node").alias("other"), F.col("head.root").alias("its"))
-            # One row per meeting meets its members: adaptive execution splits a large one.
-            pairs = rooted.join(others, "meeting").where("root <> its")
+        if turn <= STAR_ROUNDS:
+            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "root")).alias("head")
+            others = rooted.groupBy("meeting").agg(head).select("meeting", "head.*")
+            apart = "root <> its"
         else:
-            others = rooted.select("meeting", F.col("node").alias("other"), F.col("root").alias("its"))
-            pairs = rooted.join(others, "meeting").where("root < its")
+            others, apart = rooted, "root < its"
+        others = others.select("meeting", *(F.col(c).alias(n) for c, n in (("node", "other"), ("size", "length"), ("root", "its"))))
+        # One row per meeting meets its members: adaptive execution splits a large one.
+        pairs = rooted.join(others, "meeting").where(apart)
+        # The shorter set has at most all of its shingles in the other one.
+        pairs = pairs.where(F.least("size", "length") * bottom >= F.greatest("size", "length") * top)
         ends = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
         pairs = _ends(pairs.select(*ends).distinct(), sketches)
         near = written(map_arrow(pairs, _may_be_alike(similarity), "a long, b long"), "near")
@@ -512,21 +550,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row_hash, group): rows that share a group are near copies, directly or not.
 
     Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of `similarity` or
-    more; all such pairs count, and no others. Texts of fewer than five words are one shingle; texts
+    more; all such pairs count, and no others. Candidates come from SimHash fingerprints, the pairs that
+    these miss from shared first shingles. Texts of fewer than five words are one shingle; texts
     without words are copies of each other. row_hash tells rows that share an id apart.
     """
     least = Fraction(similarity).limit_denominator(1000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     texts = texts.withColumn("row_hash", F.xxhash64("body"))
     marked = written(map_arrow(texts, _marked, _MARKED), "marked")
-    total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
-    # A word has some six bytes; of so many shingles that share comes first.
-    parts = max(24, int(total / 6 * (1 - least) / PREFIX_ROWS))
-    run = _dealt_prefixes(*_common(texts, total), least, parts)
-    dealt = map_arrow(texts.select("body"), run, "part long, shingles binary, nodes binary")
-    meetings = dealt.groupBy("part").applyInArrow(_meetings, "meeting long, node long").distinct()
-    meetings = written(meetings, "meetings")
-    found = _similar_links(meetings, marked, texts, least)
+    first = fingerprint_meetings(marked)
+    meetings = written(prefix_meetings(texts, marked, least), "meetings")
+    found = _similar_links(first, meetings, marked, texts, least)
     # Texts without a near copy have no row here; a hot node is split by adaptive execution.
     rooted = marked.join(found, "node", "left")
     return rooted.select("doc_id", "row_hash", F.coalesce("root", "node").alias("group"))

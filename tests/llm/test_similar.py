@@ -128,3 +128,44 @@ def test_columns_of_any_name_stay(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows[1:]))
     assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_fingerprints_give_the_first_pairs(spark, monkeypatch):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = ["x", "y", "z"] * 200, ["p", "q", "r"] * 200  # the fingerprint is theirs, whatever follows
+    texts = [one + words("a", 20), one + words("a", 21), two + words("b", 20), two + words("c", 20), words("d", 200)]
+    texts = [" ".join(text) for text in texts]
+    points = [simhash.fingerprint(text.encode()) for text in texts]
+    apart = lambda i, j: (points[i] ^ points[j]).bit_count()
+    assert max(apart(0, 1), apart(2, 3)) <= simhash.REACH < min(apart(0, 2), apart(0, 4), apart(2, 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    nothing = lambda texts, marked, similarity: marked.where("false").selectExpr("0L meeting", "node", "size")
+    monkeypatch.setattr(simhash, "prefix_meetings", nothing)
+    alone = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    for group in (whole, alone):  # linked by their fingerprints, but only at the similarity
+        assert group[0] == group[1] and len(set(group.values())) == 4
+
+
+def test_fingerprint_meetings_against_all_pairs(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=rng.randint(100, 400))
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["begin", *base, "end"]), " ".join(base[:50])]
+    points = [simhash.fingerprint(text.encode()) for text in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (points[i] ^ points[j]).bit_count() <= simhash.REACH and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    nodes = [simhash._node(simhash.shingle_set(text.encode())) for text in texts]
+    expected = {frozenset(n for n, r in zip(nodes, root, strict=True) if r == one) for one in root}
+    rows = [(n - (n >> 63 << 64), p - (p >> 63 << 64), 1) for n, p in zip(nodes, points, strict=True)]
+    marked = spark.createDataFrame(rows, "node long, fp long, size long")
+    found = {}
+    for r in simhash.fingerprint_meetings(marked).collect():
+        found.setdefault(r.meeting, set()).add(r.node % 2**64)
+    several = {group for group in expected if len(group) > 1}
+    assert several and set(map(frozenset, found.values())) == several
