@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -80,7 +81,7 @@ def values(column: pa.Array | pa.ChunkedArray) -> list:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `limit` bytes of the binary column each, or one row."""
-    sizes = [len(x) for x in map(memoryview, values(batch.column(column)))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for row, size in enumerate(sizes):
         if row > start and total + size > limit:

@@ -49,12 +49,14 @@ PREFIX_ROWS = 500_000
 BROADCAST_TEXTS = 1_000_000
 #: A group of texts that meet is compared with one of them at a time for so many rounds, then pair by pair.
 STAR_ROUNDS = 2
-#: A set's sketch tells which of so many classes of hashes hold an odd number of its shingles.
-SKETCH_BITS = 2048
+#: A set's sketch tells which classes of hashes hold an odd number of its shingles: a power of two, at least
+#: so many classes and so many a shingle.
+SKETCH_BITS = 64
+SKETCH_SHARE = 2
 _BLOCK = 512
 _STEP = 255 * 256
 _PAIRS = 1_000_000
-_TEXT_BYTES = 16_000_000
+_TEXT_BYTES = 4_000_000
 _MARKED = "doc_id long, row_hash long, fp long, node long, size long, sketch binary"
 
 
@@ -328,8 +330,12 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Two sets' sketches differ in no more bits than shingles are in one set only."""
-    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Two sets' sketches differ in no more bits than shingles are in one set only.
+
+    The two halves of a sketch give that of half the size, bit by bit: where they differ.
+    """
+    bits = max(SKETCH_BITS, 1 << (SKETCH_SHARE * len(shingles) - 1).bit_length()) if len(shingles) else SKETCH_BITS
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -427,17 +433,30 @@ def _meetings(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(x.view(np.int64)) for x in arrays], ["meeting", "node"])
 
 
+def sketch_distances(ones: list[bytes], twos: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, the longer one folded to the length of the other."""
+    sizes = np.array([list(map(len, ones)), list(map(len, twos))], np.int64).reshape(2, -1)
+    out = np.zeros(len(ones), np.int64)
+    for kind in np.unique(sizes, axis=1).T:
+        rows = np.nonzero((sizes == kind[:, None]).all(0))[0]
+        ends = []
+        for side, size in zip((ones, twos), kind, strict=True):
+            end = np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(-1, size // 8)
+            while end.shape[1] * 8 > kind.min():
+                half = end.shape[1] // 2
+                end = end[:, :half] ^ end[:, half:]
+            ends.append(end)
+        out[rows] = np.bitwise_count(ends[0] ^ ends[1]).sum(1, dtype=np.int64)
+    return out
+
+
 def _may_be_alike(similarity: Fraction):
     """Pairs of sketches -> those that may have the similarity: no pair that has it is left out."""
     top, bottom = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (
-                np.frombuffer(b"".join(values(batch.column(c))), np.uint64).reshape(-1, SKETCH_BITS // 64)
-                for c in ("sketch_a", "sketch_b")
-            )
-            far = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+            far = sketch_distances(*(values(batch.column(c)) for c in ("sketch_a", "sketch_b")))
             both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array((both - far) * bottom >= (both + far) * top))
 
@@ -448,19 +467,20 @@ def _alike(similarity: Fraction):
     """Pairs of texts -> those whose sets of shingles have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            kept = []
-            ends = [values(batch.column(c)) for c in ("a", "b")]
-            texts = [batch.column(c) for c in ("body_a", "body_b")]
-            for row, pair in enumerate(zip(*ends, strict=True)):
-                for node, column in zip(pair, texts, strict=True):
-                    if node not in sets:
-                        sets[node] = shingle_set(column[row].as_py())
-                one, two = (sets[node] for node in pair)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(both * similarity.denominator >= (len(one) + len(two) - both) * similarity.numerator)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, "body_a", _TEXT_BYTES):
+                sets: dict[int, np.ndarray] = {}
+                kept = []
+                ends = [values(batch.column(c)) for c in ("a", "b")]
+                texts = [batch.column(c) for c in ("body_a", "body_b")]
+                for row, pair in enumerate(zip(*ends, strict=True)):
+                    for node, column in zip(pair, texts, strict=True):
+                        if node not in sets:
+                            sets[node] = shingle_set(column[row].as_py())
+                    one, two = (sets[node] for node in pair)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    kept.append(both * similarity.denominator >= (len(one) + len(two) - both) * similarity.numerator)
+                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 

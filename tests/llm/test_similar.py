@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coverlens.llm import simhash
@@ -169,3 +170,24 @@ def test_fingerprint_meetings_against_all_pairs(spark):
         found.setdefault(r.meeting, set()).add(r.node % 2**64)
     several = {group for group in expected if len(group) > 1}
     assert several and set(map(frozenset, found.values())) == several
+
+
+def test_sketches_of_long_sets_tell_them_apart():
+    rng = np.random.default_rng(5)
+    for n, m in ((6000, 6000), (9000, 8000), (300, 250), (40, 50)):
+        one, two = (np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, m))
+        far = simhash.sketch_distances([simhash.sketch(one)], [simhash.sketch(two)])[0]
+        assert far <= n + m and (n + m - far) * 5 < (n + m + far) * 4  # no candidate, as nothing is shared
+    one = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    more = np.unique(np.concatenate([one, rng.integers(0, 2**63, 600, dtype=np.uint64)]))
+    sketches = [simhash.sketch(x) for x in (one, more)]
+    assert len(sketches[0]) < len(sketches[1])  # the longer one is folded
+    far = simhash.sketch_distances([*sketches, sketches[0]], [*sketches[::-1], sketches[0]])
+    assert 0 < far[0] <= 600 and far.tolist() == [far[0], far[0], 0]
+
+
+def test_long_texts_are_compared_in_parts():
+    texts = [" ".join(f"w{i}" for i in range(k, k + 40_000)).encode() for k in range(0, 200, 10)]
+    batch = pa.record_batch([list(range(20)), list(range(20, 40)), texts, texts[1:] + [b"other"]], ["a", "b", "body_a", "body_b"])
+    parts = list(simhash._alike(Fraction(4, 5))(iter([batch])))
+    assert len(parts) > 1 and [a for p in parts for a in p.column("a").to_pylist()] == list(range(19))
