@@ -4,7 +4,8 @@ the nearest directory above. Built-in functions only.
 A unit (a line, or a whole text) is compared with a template in the space of the templates' terms and
 one more dimension that counts all other words. Most units share nothing with any template, and most
 of the others share too little: for each template a few of its heaviest terms are such that without
-one of them the cosine stays below the threshold, so only units with one of these are weighed at all.
+one of them the cosine stays below the threshold, and so it does with too many other words, whatever
+the template. Only units that pass both tests, which each task makes by itself, are weighed at all.
 """
 
 from __future__ import annotations
@@ -101,6 +102,30 @@ def key_terms(vectors: list[dict[str, float]], threshold: float) -> set[str]:
     return keys
 
 
+def may_reach(words: Column, idf: dict[str, float], other: float, threshold: float) -> Column:
+    """Whether the cosine of a unit of these words with any template can reach the threshold.
+
+    It is at most the length of the unit's part on known terms by its whole length, and that part is no
+    longer than the sum of its terms' weights.
+    """
+    if threshold <= 0:
+        return F.lit(True)
+    # a little more than needed, as scores are rounded
+    gain = math.sqrt(max(0.0, 1 / threshold**2 - 1)) * (1 + 1e-6) + 1e-6
+    levels: dict[float, list[str]] = {}
+    for term in sorted(idf):
+        levels.setdefault(idf[term], []).append(term)
+
+    def weight(word: Column) -> Column:
+        found = F.when(~word.isin(sorted(idf)), F.lit(-other))
+        for level, terms in levels.items():
+            found = found.when(word.isin(terms), F.lit(level * gain))
+        return found
+
+    # no word but those of `idf` and others, so that `weight` is never null
+    return F.aggregate(words, F.lit(0.0), lambda total, word: total + weight(word)) >= F.lit(-1e-6)
+
+
 def _template_table(spark: SparkSession, vectors, idf, templates) -> DataFrame:
     rows = [
         (term, float(idf[term]), number, templates[number][0], float(weight))
@@ -117,6 +142,7 @@ def _cosines(units: DataFrame, templates, threshold: float) -> DataFrame:
     keys = "|".join(re.escape(k) for k in sorted(key_terms(vectors, threshold)))
     near = units.where(F.lower("body").rlike(rf"(?<![a-z0-9])(?:{keys})(?![a-z0-9])"))
     words = F.regexp_extract_all(F.lower("body"), F.lit(f"({_WORD})"), F.lit(1))
+    near = near.where(may_reach(words, idf, other, threshold))
     near = near.select("row", "unit", "share", F.explode(words).alias("term"))
     counted = written(near.groupBy("row", "unit", "share", "term").agg(F.count(F.lit(1)).alias("k")), "terms")
     # A row for each term of the templates.

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from coverlens.llm import licenses
 
 
@@ -72,3 +74,44 @@ def test_nearest_directory_and_cases_of_tables(spark):
         "a/bb/e.py": ("MIT", "directory", "LICENSE"),
     }
     assert licenses.scan(files.limit(0)).collect() == []
+
+
+def test_only_units_that_may_match_are_weighed(spark, monkeypatch):
+    rng = random.Random(7)
+    prose = "the license of this software is a public work that you may use in other versions free of any terms".split()
+    rows = []
+    for i in range(300):
+        lines = [" ".join(rng.choices([*prose, *(f"w{k}" for k in range(30))], k=12)) for _ in range(5)]
+        if i % 50 == 0:
+            lines[2] = rng.choice(licenses.TEMPLATES)[1]
+        rows.append((f"d{i}/f.txt", "\n".join(lines)))
+    weighed, write = [], licenses.written
+
+    def counted(table, name):
+        out = write(table, name)
+        if name == "terms":
+            weighed.append(out.select("row", "unit").distinct().count())
+        return out
+
+    monkeypatch.setattr(licenses, "written", counted)
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, text in rows:
+        best = plain_best(text)
+        assert got[path].via == "directory" or got[path].license == (best and best[0])
+    assert 6 <= weighed[0] <= 30  # of 1,800 units, most of which have a key term
+
+
+def test_no_unit_at_the_threshold_is_ruled_out(spark):
+    rng = random.Random(8)
+    vectors, idf, other = licenses._weights(licenses.TEMPLATES)
+    rows, reached = [], []
+    for _ in range(600):
+        words = re.findall(licenses._WORD, rng.choice(licenses.TEMPLATES)[1].lower())
+        words += [rng.choice([*idf, "xyz"]) for _ in range(rng.randint(0, 3))] + ["foo"] * rng.randint(0, 4)
+        best = plain_best(" ".join(words))
+        rows.append((len(rows), words))
+        reached.append(best is not None)
+    found = spark.createDataFrame(rows, "i int, words array<string>")
+    found = found.select("i", licenses.may_reach(F.col("words"), idf, other, licenses.THRESHOLD).alias("may")).collect()
+    may = {r.i: r.may for r in found}
+    assert sum(reached) > 100 and all(may[i] for i, at in enumerate(reached) if at)
