@@ -65,9 +65,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """mapInArrow with this package importable on the workers."""
+    """mapInArrow with this package importable on the workers, which give memory back as a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        # Workers wait for later tasks, beside those of other operators.
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -25,7 +25,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Ranks are counted in so many parts of each length, so that no length is ranked by one task.
 RANK_PARTS = 256
-_TEXT_BYTES = 4_000_000
+_TEXT_BYTES = 1_000_000
 
 
 def pieces(

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts of chunks remembered by one worker (some 200 bytes each); beyond it the memory starts anew.
-#: Results do not depend on it.
-CACHE_PARTS = 800_000
+#: Parts of chunks that one worker remembers in each of two generations (some 150 bytes a part). Beyond it
+#: the older one goes, and parts that are still in use move to a new one. Results do not depend on it.
+CACHE_PARTS = 300_000
 _SIGNS = b".,;:!?"
 #: Stands between parts that are encoded in one call: tokenizers cut texts at it before anything else.
 _BETWEEN = "<|endoftext|>"
@@ -74,6 +74,7 @@ class ChunkTokenizer:
         plain = [k for k, t in added if t.content == _BETWEEN and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.between = plain[0] if plain else None
         self.known: dict[bytes, bytes] = {}  # by part
+        self.before: dict[bytes, bytes] = {}  # those of the generation before
 
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
@@ -109,12 +110,14 @@ class ChunkTokenizer:
         return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
 
     def _learn(self, parts: set[bytes]) -> None:
-        """Remember the ids of all these parts."""
-        known = self.known
-        new = parts.difference(known)
-        if len(known) + len(new) > CACHE_PARTS:
-            known.clear()
+        """Remember the ids of all these parts: they are in `known` afterwards."""
+        new = parts.difference(self.known)
+        if len(self.known) + len(new) > CACHE_PARTS:
+            self.before, self.known = self.known, {}
             new = parts
+        known, before = self.known, self.before
+        known.update((part, before[part]) for part in new if part in before)
+        new = new.difference(known)
         # Parts that may name a special token are encoded in calls of their own.
         named = {part for part in new if b"<|" in part}
         for own in (list(new - named), list(named)):
@@ -144,6 +147,7 @@ class ChunkTokenizer:
         ends = np.cumsum(own)
         # Part by part, where its ids begin among all names', less where they begin in the texts.
         begins = np.repeat((np.cumsum(sizes) - sizes)[used] - (ends - own), own)
-        ids = np.frombuffer(b"".join(raw), "<u4")[begins + np.arange(len(begins))]
+        begins += np.arange(len(begins))
+        ids = np.frombuffer(b"".join(raw), "<u4")[begins]
         bounds = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(n_words)])].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]

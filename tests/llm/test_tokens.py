@@ -34,3 +34,16 @@ def test_memory_is_bounded_and_changes_nothing(tokenizer, monkeypatch):
     for text in ("one two three four five", "six one. two! Three", "", " \n ", "x" * 50_000):
         (raw,) = own.encode([text.encode()])
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_in_use_are_kept_as_others_go(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 6)
+    own, encoded = tokens.ChunkTokenizer(TOKENIZER), []
+    plain = own._encode
+    own._encode = lambda parts: encoded.extend(parts) or plain(parts)
+    most = 0
+    for n in range(40):
+        own.encode([f"often new{n} other{n}".encode()])
+        most = max(most, len(own.known | own.before))
+    assert encoded.count(b"often") == 1 and len(encoded) >= 81
+    assert most <= 12
