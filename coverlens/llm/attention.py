@@ -24,6 +24,20 @@ SCORED = 512
 #: Classes of a group, and groups.
 GROUP = 32
 _NEVER = np.float32(-1e4)
+_GAP = np.arange(STRIDE)[:, None] + STRIDE - 1 - np.arange(KEYS)[None, :]
+#: Which keys a target of a window sees, and how far they are behind it.
+_CAUSAL, _BEHIND = _GAP >= 0, np.maximum(_GAP, 0)
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows that have the same place, by place."""
+    at = at.astype(np.uint16)  # sorted by radix
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[at[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
+    return out
 
 
 def windows(tokens: np.ndarray, sizes: np.ndarray, begin: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,40 +99,48 @@ class Model:
             at += part.size
 
     def _tables(self) -> tuple[np.ndarray, ...]:
+        """Queries by class, keys and values side by side, and the bias of each key for each target."""
         p = self.parts
         embedding = p["embedding"]
         query = embedding @ p["query"] / np.float32(np.sqrt(WIDTH))
-        unseen = np.zeros(len(embedding), np.float32)
-        unseen[self.pad] = _NEVER
-        behind = np.arange(STRIDE)[:, None] + STRIDE - 1 - np.arange(KEYS)[None, :]
-        bias = np.where(behind >= 0, p["distance"][np.maximum(behind, 0)], _NEVER).astype(np.float32)
-        return query, embedding @ p["key"], embedding @ p["value"], unseen, bias, np.maximum(behind, 0)
+        both = embedding @ np.concatenate([p["key"], p["value"]], axis=1)
+        return query, both, np.where(_CAUSAL, p["distance"][_BEHIND], _NEVER).astype(np.float32)
 
     def _attend(self, block: np.ndarray, tables: tuple) -> tuple[np.ndarray, ...]:
-        query, key, value, unseen, bias, _ = tables
+        query, both, bias = tables
         inputs = block[:, :KEYS]
-        q, k, v = query[inputs[:, STRIDE - 1 :]], key[inputs], value[inputs]
+        q, kv = query.take(inputs[:, STRIDE - 1 :], axis=0), both.take(inputs, axis=0)
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
         weights = q @ k.transpose(0, 2, 1)
         weights += bias
-        weights += unseen[inputs][:, None, :]
-        np.clip(weights, None, 30, out=weights)
+        unseen = inputs == self.pad
+        padded = np.nonzero(unseen.any(1))[0]
+        weights[padded] += (unseen[padded] * _NEVER)[:, None, :]
+        np.minimum(weights, 30, out=weights)
         np.exp(weights, out=weights)
-        weights /= weights.sum(2, keepdims=True)
+        weights *= (1 / (weights @ np.ones(KEYS, weights.dtype)))[..., None]
         return inputs, q, k, v, weights, weights @ v
 
-    def _logits(self, current: np.ndarray, targets: np.ndarray, hidden: np.ndarray) -> tuple:
-        """Logits of all groups and of the target's group's members, and rows by group."""
-        group = targets // GROUP
+    def _logits(self, inputs: np.ndarray, block: np.ndarray, hidden: np.ndarray) -> tuple:
+        """For the targets, in the order of their groups: (rows among all targets, hidden values, targets'
+        places, group by group, in the logits; logits of all groups, logits of the target's group's members)."""
+        targets = block[:, STRIDE:].ravel()
+        rows = np.nonzero(targets < self.begin)[0]
+        group = (targets[rows] // GROUP).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUP + 1))
-        rows = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        groups = self.groups[current]
-        groups += hidden @ self.parts["to_group"]
-        members = self.members[current, group]
-        for one, own in enumerate(rows):
-            if len(own):
-                members[own] += hidden[own] @ self.parts["to_member"][one]
-        return group, rows, groups, members
+        rows, group = rows[order], group[order].astype(np.int64)
+        cuts = np.cumsum(np.bincount(group, minlength=GROUP))
+        parts = [(one, a, b) for one, (a, b) in enumerate(zip([0, *cuts.tolist()], cuts.tolist(), strict=False)) if a < b]
+        current = inputs[:, STRIDE - 1 :].ravel()[rows].astype(np.int64)
+        flat = hidden.reshape(-1, WIDTH).take(rows, axis=0)
+        groups = self.groups.take(current, axis=0)
+        groups += flat @ self.parts["to_group"]
+        members = self.members.reshape(-1, GROUP).take(current * GROUP + group, axis=0)
+        for one, a, b in parts:
+            members[a:b] += flat[a:b] @ self.parts["to_member"][one]
+        starts = np.arange(0, len(rows) * GROUP, GROUP)
+        places = starts + group, starts + targets[rows] % GROUP
+        return rows, flat, places, parts, groups, members
 
     def log_probabilities(self, laid: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probabilities by place of the laid out tokens (0 where no target stands)."""
@@ -129,64 +151,54 @@ class Model:
             places = at[start : start + SCORED, None] + span
             block = laid[places]
             inputs, *_, hidden = self._attend(block, tables)
-            targets = block[:, STRIDE:].ravel()
-            rows = np.nonzero(targets < self.begin)[0]
-            targets = targets[rows]
-            current = inputs[:, STRIDE - 1 :].ravel()[rows]
-            group, _, groups, members = self._logits(current, targets, hidden.reshape(-1, WIDTH)[rows])
-            every = np.arange(len(rows))
-            found = groups[every, group] + members[every, targets % GROUP]
-            found -= np.log(np.exp(groups).sum(1)) + np.log(np.exp(members).sum(1))
+            rows, _, places_in, _, groups, members = self._logits(inputs, block, hidden)
+            found = groups.ravel()[places_in[0]] + members.ravel()[places_in[1]]
+            for logits in (groups, members):
+                np.exp(logits, out=logits)
+                found -= np.log(logits @ np.ones(GROUP, logits.dtype))
             out[places[:, STRIDE:].ravel()[rows]] = found
         return out
 
     def slopes(self, block: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over a batch of windows and its derivatives."""
-        p, tables = self.parts, self._tables()
-        inputs, q, k, v, weights, hidden = self._attend(block, tables)
-        current = inputs[:, STRIDE - 1 :]
-        targets = block[:, STRIDE:].ravel()
-        rows = np.nonzero(targets < self.begin)[0]
-        targets = targets[rows]
-        flat = hidden.reshape(-1, WIDTH)[rows]
-        group, by_group, groups, members = self._logits(current.ravel()[rows], targets, flat)
-        every, n, loss = np.arange(len(rows)), max(1, len(rows)), 0.0
-        for logits, target in ((groups, group), (members, targets % GROUP)):
+        p = self.parts
+        embedding = p["embedding"]
+        inputs, q, k, v, weights, hidden = self._attend(block, self._tables())
+        rows, flat, places, by_group, groups, members = self._logits(inputs, block, hidden)
+        n, loss = max(1, len(rows)), 0.0
+        for logits, target in zip((groups, members), places, strict=True):
             logits -= logits.max(1, keepdims=True)
-            own = logits[every, target].sum()
+            own = logits.ravel()[target].sum()
             np.exp(logits, out=logits)
-            total = logits.sum(1, keepdims=True)
+            total = logits @ np.ones(GROUP, logits.dtype)
             loss += float(np.log(total).sum() - own) / n
-            logits /= total
-            logits[every, target] -= 1
-            logits /= np.float32(n)
+            logits *= (1 / (total * n))[:, None]
+            logits.ravel()[target] -= logits.dtype.type(1 / n)
         to_flat = groups @ p["to_group"].T
         to_member = np.zeros_like(p["to_member"])
-        for one, own in enumerate(by_group):
-            if len(own):
-                to_flat[own] += members[own] @ p["to_member"][one].T
-                to_member[one] = flat[own].T @ members[own]
-        back = np.zeros((hidden.shape[0] * STRIDE, WIDTH), np.float32)
+        for one, a, b in by_group:
+            to_flat[a:b] += members[a:b] @ p["to_member"][one].T
+            to_member[one] = flat[a:b].T @ members[a:b]
+        back = np.zeros((hidden.shape[0] * STRIDE, WIDTH), hidden.dtype)
         back[rows] = to_flat
         back = back.reshape(hidden.shape)
-        to_weights = back @ v.transpose(0, 2, 1)
-        to_scores = weights * (to_weights - (to_weights * weights).sum(2, keepdims=True))
-        to_v = weights.transpose(0, 2, 1) @ back
+        to_scores = back @ v.transpose(0, 2, 1)
+        # The mean slope over the keys, by their weights, is that along the hidden values.
+        to_scores -= np.einsum("bqw,bqw->bq", back, hidden)[..., None]
+        to_scores *= weights
         to_q = (to_scores @ k).reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
         # q is scaled already; so are the slopes of k.
-        to_k = (to_scores.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        to_v = to_v.reshape(-1, WIDTH)
-        seen, asked = p["embedding"][inputs.ravel()], p["embedding"][current.ravel()]
-        embedding = np.zeros_like(p["embedding"])
-        np.add.at(embedding, current.ravel(), to_q @ p["query"].T)
-        np.add.at(embedding, inputs.ravel(), to_k @ p["key"].T + to_v @ p["value"].T)
-        causal = tables[4] > _NEVER / 2
-        distance = np.bincount(tables[5][causal], to_scores.sum(0)[causal], KEYS).astype(np.float32)
+        to_kv = np.concatenate([to_scores.transpose(0, 2, 1) @ q, weights.transpose(0, 2, 1) @ back], axis=2)
+        # As queries, keys and values are tables by class, slopes are summed by class first.
+        to_q = _summed(to_q, inputs[:, STRIDE - 1 :].ravel(), len(embedding))
+        to_kv = _summed(to_kv.reshape(-1, 2 * WIDTH), inputs.ravel(), len(embedding))
+        to_k, to_v = to_kv[:, :WIDTH], to_kv[:, WIDTH:]
+        distance = np.bincount(_BEHIND[_CAUSAL], to_scores.sum(0)[_CAUSAL], KEYS).astype(np.float32)
         return loss, {
-            "embedding": embedding,
-            "query": asked.T @ to_q,
-            "key": seen.T @ to_k,
-            "value": seen.T @ to_v,
+            "embedding": to_q @ p["query"].T + to_k @ p["key"].T + to_v @ p["value"].T,
+            "query": embedding.T @ to_q,
+            "key": embedding.T @ to_k,
+            "value": embedding.T @ to_v,
             "to_group": flat.T @ groups,
             "to_member": to_member,
             "distance": distance,
@@ -194,15 +206,17 @@ class Model:
 
     def train(self, blocks: Iterator[np.ndarray], rate: float) -> int:
         """One pass over batches of windows (Adam); the number of windows."""
-        first = {k: np.zeros_like(v) for k, v in self.parts.items()}
-        second = {k: np.zeros_like(v) for k, v in self.parts.items()}
+        flat = self.flat()
+        first, second = np.zeros_like(flat), np.zeros_like(flat)
         seen = step = 0
         for block in blocks:
             step += 1
             seen += len(block)
-            for name, slope in self.slopes(block)[1].items():
-                first[name] += 0.1 * (slope - first[name])
-                second[name] += 0.01 * (slope**2 - second[name])
-                mean, square = first[name] / (1 - 0.9**step), second[name] / (1 - 0.99**step)
-                self.parts[name] = self.parts[name] - rate * mean / (np.sqrt(square) + 1e-7)
+            slopes = self.slopes(block)[1]
+            slope = np.concatenate([slopes[name].ravel() for name in self.parts])
+            first += 0.1 * (slope - first)
+            second += 0.01 * (slope * slope - second)
+            mean, square = first / (1 - 0.9**step), second / (1 - 0.99**step)
+            flat -= rate * mean / (np.sqrt(square) + 1e-7)
+            self.load(flat)
         return seen

@@ -180,10 +180,16 @@ class _Texts:
         return tokens[np.repeat(~self.held, self.id_sizes)], self.id_sizes[~self.held]
 
 
+def _plain(value: pa.Scalar):
+    """A value of a row; lists of integers without nulls as arrays."""
+    whole = isinstance(value, pa.ListScalar) and pa.types.is_integer(value.type.value_type)
+    return value.values.to_numpy() if whole and not value.values.null_count else value.as_py()
+
+
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            yield {name: _plain(batch.column(name)[i]) for name in batch.schema.names}
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,3 +160,32 @@ def test_cases_of_tables(spark):
     assert by_id[2].n_tokens == by_id[3].n_tokens == 1 and by_id[2].score == by_id[3].score < 0
     assert by_id[4].n_tokens == 50_001 and not by_id[None].held_out
     assert lm.score(docs.limit(0), TOKENIZER).collect() == []
+
+
+def test_slopes_are_summed_by_class():
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 4000):
+        rows, at = rng.standard_normal((n, 5)).astype(np.float32), rng.integers(0, 1026, n).astype(np.int32)
+        expected = np.zeros((1026, 5), np.float32)
+        np.add.at(expected, at, rows)
+        np.testing.assert_allclose(attention._summed(rows, at, 1026), expected, atol=1e-4)
+
+
+def test_steps_of_training_lower_the_loss_and_stay_finite():
+    m = model()
+    tokens = np.random.default_rng(9).integers(0, 40, 4000).astype(np.int32)
+    laid, at, _ = attention.windows(tokens, np.array([4000]), m.begin, m.pad)
+    block = laid[at[:, None] + np.arange(attention.KEYS + 1)]
+    own = m.copy()
+    assert own.train(iter([block] * 20), 0.02) == 20 * len(block)
+    assert own.slopes(block)[0] < m.slopes(block)[0] - 0.5
+    own.parts["to_group"] = own.parts["to_group"] * np.float32(1e4)
+    own.train(iter([block] * 3), 0.02)
+    assert np.isfinite(own.flat()).all()
+
+
+def test_rows_of_chunks_come_as_arrays():
+    batch = lm._chunk(0, [1, None], [False, True], pa.array([b"a b", b"c"], pa.binary()), TOKENIZER)
+    row = next(lm._each([batch]))
+    assert isinstance(row["keys"], np.ndarray) and isinstance(row["sizes"], np.ndarray)
+    assert row["doc_ids"] == [1, None] and list(row["held"]) == [False, True]
