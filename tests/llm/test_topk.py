@@ -54,3 +54,33 @@ def test_scores_beyond_a_long_are_refused(spark):
 
 def test_query_equals_statement(spark, sf_dir):
     assert differences(QUERIES["op3_topk"](spark, sf_dir), duck(sf_dir), ORACLES["op3_topk"]) == []
+
+
+def test_blocks_meet_in_groups_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 20)
+    monkeypatch.setattr(topk, "QUERY_LANE", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_LANE", 3)
+    seen = []
+    monkeypatch.setattr(topk, "GROUPS_A_CORE", 0)
+    monkeypatch.setattr(topk, "ship", lambda spark: seen.append(spark))
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-2.0, 0.5, 1.0, 300.0]) for _ in range(6)]) for i in range(240)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = topk.top_k(table, F.col("vec_id") % 4 == 0, 6)
+    # no row holds a pair of blocks, and no side goes to all tasks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert seen and "CoGroups" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == plain(rows, 6, lambda i: i % 4 == 0)
+
+
+def test_blocks_are_as_narrow_as_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WIDTH", 4)
+    rows = [(i, [float(i), -1.0, 0.0, 1.0] * 3) for i in range(30)]
+    vectors = topk._vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1.0)
+    blocks, packed = topk._blocks(vectors, 20, "blocks")
+    made = blocks.collect()
+    # 12 numbers a row, but blocks of 20 rows of 4: more of them, and with fewer rows
+    assert packed == 5 and sum(b.n for b in made) == 30 and all(b.n * 12 <= 2 * 20 * 4 for b in made)
+    assert {b.kind for b in made} == {"<i1"} and all(len(b.matrix) == 12 * b.n for b in made)
+    assert [topk._kind(x) for x in (127.0, 128.0, 2.0**15, 2.0**31)] == ["<i1", "<i2", "<i4", "<f8"]
