@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -42,10 +43,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from the copy: lost executors cost a re-read."""
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and go on from the copy: lost executors cost a re-read.
+
+    group_rows: rows of a row group, for rows of megabytes; readers hold as many at a time.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", str(group_rows))
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,13 +71,20 @@ def ship(spark: SparkSession) -> None:
     context._coverlens_shipped = True
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers wait for later tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package importable on the workers, which give memory back as a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        # Workers wait for later tasks, beside those of other operators.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.llm import attention
-from coverlens.llm.common import map_arrow, ship, slices, text_bytes, values, written
+from coverlens.llm.common import give_back, map_arrow, ship, slices, text_bytes, values, written
 from coverlens.llm.tokens import ChunkTokenizer, split_words
 
 HOLD_OUT = (7, 2)
@@ -100,7 +100,7 @@ def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
     key = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
     held = F.coalesce(key == remainder, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, text_bytes().alias("body"))
-    return written(map_arrow(rows, run, _CHUNK), "chunks")
+    return written(map_arrow(rows, run, _CHUNK), "chunks", group_rows=1)
 
 
 def _deal(n_buckets: int):
@@ -187,6 +187,8 @@ def _plain(value: pa.Scalar):
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of chunks. All texts are in ids by then, so that workers need no tokenizer any more."""
+    ChunkTokenizer.forget()
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: _plain(batch.column(name)[i]) for name in batch.schema.names}
@@ -319,30 +321,33 @@ def fit(parts: DataFrame, size: int, rates: tuple[float, ...] = RATES) -> Langua
 
 
 def _score_part(model: LanguageModel, total: int, distinct: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk and the counts of its words -> its texts with their scores."""
+
+    def run(chunk: pa.Table, counts: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for row in _each(batches):
-            texts = _Texts(row)
-            first = np.cumsum(texts.sizes) - texts.sizes
-            bucket = np.array(row["keys"], np.int64).view(np.uint64) % np.uint64(n_buckets)
-            known = np.zeros(len(bucket), np.int64)
-            for part in row["known"]:
-                known[bucket == part["bucket"]] = np.frombuffer(part["counts"], np.int64)
-            base = np.log10(known + 1.0) - np.log10(total + distinct + 1.0)
-            own = model.words.class_of[texts.ids]
-            laid, at, place = attention.windows(own, texts.id_sizes, model.attention.begin, model.attention.pad)
-            logs = model.attention.log_probabilities(laid, at)[place] + model.words.share[texts.ids]
-            id_first = np.cumsum(texts.id_sizes) - texts.id_sizes
-            columns = [
-                pa.array(row["doc_ids"], pa.int64()),
-                pa.array(row["held"], pa.bool_()),
-                pa.array(texts.sizes),
-                pa.array(np.add.reduceat((known > 0)[texts.words].astype(np.int64), first)),
-                pa.array(np.full(len(first), total, np.int64)),
-                pa.array(np.add.reduceat(base[texts.words], first)),
-                pa.array(np.add.reduceat(logs, id_first) / np.log(10)),
-            ]
-            yield pa.record_batch(columns, names)
+        (row,) = _each(chunk.to_batches())
+        texts = _Texts(row)
+        first = np.cumsum(texts.sizes) - texts.sizes
+        bucket = np.array(row["keys"], np.int64).view(np.uint64) % np.uint64(n_buckets)
+        known = np.zeros(len(bucket), np.int64)
+        for part in _each(counts.to_batches()):
+            known[bucket == part["bucket"]] = np.frombuffer(part["counts"], np.int64)
+        base = np.log10(known + 1.0) - np.log10(total + distinct + 1.0)
+        own = model.words.class_of[texts.ids]
+        laid, at, place = attention.windows(own, texts.id_sizes, model.attention.begin, model.attention.pad)
+        logs = model.attention.log_probabilities(laid, at)[place] + model.words.share[texts.ids]
+        id_first = np.cumsum(texts.id_sizes) - texts.id_sizes
+        columns = [
+            pa.array(row["doc_ids"], pa.int64()),
+            pa.array(row["held"], pa.bool_()),
+            pa.array(texts.sizes),
+            pa.array(np.add.reduceat((known > 0)[texts.words].astype(np.int64), first)),
+            pa.array(np.full(len(first), total, np.int64)),
+            pa.array(np.add.reduceat(base[texts.words], first)),
+            pa.array(np.add.reduceat(logs, id_first) / np.log(10)),
+        ]
+        give_back()
+        return pa.table(columns, names)
 
     return run
 
@@ -367,11 +372,10 @@ def score(docs: DataFrame, tokenizer: str, rates: tuple[float, ...] = RATES) ->
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"),
         F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"),
     ).first()
-    # At most the words of one chunk in a group.
-    known = counts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("known"))
     model = fit(parts, told["size"] or 0, rates)
-    rows = parts.drop("train").join(known, "chunk")
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return map_arrow(rows, _score_part(model, sums["n"], sums["distinct"], n_buckets), schema)
+    # A chunk at a time, with the counts of its words: tasks hold no more, however many chunks they get.
+    rows = parts.drop("train").groupBy("chunk").cogroup(counts.select("chunk", "bucket", "counts").groupBy("chunk"))
+    return rows.applyInArrow(_score_part(model, sums["n"], sums["distinct"], n_buckets), schema)

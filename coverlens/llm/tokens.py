@@ -83,6 +83,11 @@ class ChunkTokenizer:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
+    @staticmethod
+    def forget() -> None:
+        """Let go of the worker's copies and of all that they remember; they are loaded anew when asked for."""
+        _LOADED.clear()
+
     def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
         """A chunk as a lower-case core and the signs behind it, which have ids of their own.
 

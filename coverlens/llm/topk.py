@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import map_arrow, ship, written
+from coverlens.llm.common import give_back, map_arrow, ship, written
 
 K = 20
 BINS = 1024
@@ -137,8 +137,7 @@ def _picked(tile: tuple, block: tuple, low: np.ndarray, high: np.ndarray | None
 
 def _made(parts: list[list[np.ndarray]], names: list[str]) -> pa.Table:
     columns = [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(len(names))]
-    # Workers wait for later tasks, beside those of other operators.
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
 

@@ -189,3 +189,29 @@ def test_rows_of_chunks_come_as_arrays():
     row = next(lm._each([batch]))
     assert isinstance(row["keys"], np.ndarray) and isinstance(row["sizes"], np.ndarray)
     assert row["doc_ids"] == [1, None] and list(row["held"]) == [False, True]
+
+
+def test_a_task_holds_one_chunk_at_a_time(spark, monkeypatch, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from coverlens.llm import common, tokens
+
+    paths = []
+    new_path = common.new_path
+    monkeypatch.setattr(common, "new_path", lambda spark, name: paths.append((name, new_path(spark, name))) or paths[-1][1])
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 100)
+    docs = spark.createDataFrame([(i, f"words of text number {i} " * 10) for i in range(40)], "doc_id long, text string").coalesce(1)
+    found = lm.score(docs, TOKENIZER, rates=())
+    (folder,) = [path.removeprefix("file:") for name, path in paths if name == "chunks"]
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/*.parquet")]
+    assert sum(f.num_rows for f in files) == sum(f.num_row_groups for f in files) == 40
+    # a chunk is a group of its own, not one of many rows in a batch
+    assert "CoGroups" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    # and what the tokenizer remembers is gone when chunks are read
+    tokens.ChunkTokenizer.of(TOKENIZER).learn([b"some", b"words"])
+    assert tokens._LOADED
+    list(lm._each([]))
+    assert not tokens._LOADED
